@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, tool_chat
+from .decontaminate import op4_decontaminate
 from .exact_dedup import op6_exact_dedup
 from .mixing import op1_mixing
 from .token_counts import op10_token_counts
+from .tool_chat import op2_tool_chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_tool_chat": op2_tool_chat,
+    "op4_decontaminate": op4_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.oracle(),
+    "op2_tool_chat": tool_chat.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
