@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup, mixing, tool_chat
 from .decontaminate import op4_decontaminate
 from .exact_dedup import op6_exact_dedup
+from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
 from .token_counts import op10_token_counts
 from .tool_chat import op2_tool_chat
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tool_chat": op2_tool_chat,
     "op4_decontaminate": op4_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }
 
