@@ -27,7 +27,12 @@ from .common import fresh, materialise, sha256_text, table, work_path
 
 HEAVY_SHARE = 4096
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Many small stores: no preallocated files, and only changes are written to the checkpoint.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 FEED = "digest string, id {id}, part string, place long"
 
 
@@ -52,15 +57,17 @@ def run_stream(spark: SparkSession, feed_path: str, feed_schema: str, files_per_
         # The folder is the batch's own: a batch that is run again after a failure replaces it.
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         changed.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     schema = StructType([*changed.schema.fields, StructField("batch", IntegerType())])
     batches = spark.read.schema(schema).option("basePath", out)
     try:
@@ -79,7 +86,7 @@ def _with_groups(rows: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
     heavy = groups.filter(F.col("group_size") > n_rows / HEAVY_SHARE)
     light = groups.filter(F.col("group_size") <= n_rows / HEAVY_SHARE)
     keys = F.broadcast(heavy.select("digest"))
-    return rows.join(F.broadcast(heavy), "digest").unionByName(rows.join(keys, "digest", "left_anti").join(light, "digest"))
+    return rows.join(F.broadcast(heavy), "digest").unionByName(rows.join(keys, "digest", "left_anti").join(light.hint("merge"), "digest"))
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_text, files_per_batch: int | None = None) -> DataFrame:
