@@ -11,12 +11,14 @@ from .decontaminate import op4_decontaminate
 from .exact_dedup import op6_exact_dedup
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
+from .substring_dedup import op3_substring_dedup
 from .token_counts import op10_token_counts
 from .tool_chat import op2_tool_chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_tool_chat": op2_tool_chat,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_jaccard_join": op9_jaccard_join,
