@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup, mixing, tool_chat
 from .decontaminate import op4_decontaminate
 from .exact_dedup import op6_exact_dedup
+from .gru_lm import op8_gru_scores
 from .html_text import op7_html_text
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_html_text": op7_html_text,
+    "op8_gru_scores": op8_gru_scores,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }

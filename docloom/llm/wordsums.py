@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import text_bytes
 
 FREQUENT_WORDS = 1 << 18
 FREQUENT_BYTES = 48
@@ -64,11 +64,12 @@ def frequent_values(words: DataFrame, value_cols: list[str], limit: int = FREQUE
     return dict(zip(rows["word"], values, strict=True))
 
 
-def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], id_col: str = "doc_id", text_col: str = "text", split: Splitter = ascii_words, limit: int = FREQUENT_WORDS) -> DataFrame:
+def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], id_col: str = "doc_id", text_col: str = "text", split: Splitter = ascii_words, limit: int = FREQUENT_WORDS, extra: Callable[[list[list]], dict] | None = None, extra_cols: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_words`` and, for each value column, the sum over the row's words.
 
     ``words`` has word, n and the value columns (double); words that it lacks count as 0.
     Repeated ids stay separate rows: rows are told apart by their place in the scan.
+    ``extra`` gets the words of each text of a batch, in order, and returns the double columns ``extra_cols``.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent_values(words, value_cols, limit))
@@ -78,12 +79,15 @@ def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], i
     def split_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:
-            sizes, n_words, sums, rests = [], [], [[] for _ in range(k)], []
+            sizes, n_words, sums, rests, texts = [], [], [[] for _ in range(k)], [], []
             for text in batch.column(2).to_pylist():
                 raw = text_bytes(text)
                 sizes.append(len(raw))
-                found = Counter(split(raw))
-                n_words.append(sum(found.values()))
+                in_order = split(raw)
+                found = Counter(in_order)
+                n_words.append(len(in_order))
+                if extra:
+                    texts.append(in_order)
                 rest, total = [], [0.0] * k
                 for word, times in found.items():
                     value = table.get(word)
@@ -97,26 +101,23 @@ def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], i
                 for i in range(k):
                     sums[i].append(total[i])
                 rests.append([{"word": w, "times": t} for w, t in rest])
+            more = extra(texts) if extra else {}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(n_words, pa.int64()), *(pa.array(s, pa.float64()) for s in sums), pa.array(rests, rest_type)],
-                ["row", "id", "n_bytes", "n_words", *value_cols, "rest"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(n_words, pa.int64()), *(pa.array(s, pa.float64()) for s in sums), *(pa.array(more[c], pa.float64()) for c in extra_cols), pa.array(rests, rest_type)],
+                ["row", "id", "n_bytes", "n_words", *value_cols, *extra_cols, "rest"],
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"row long, id {id_type}, n_bytes long, n_words long, " + ", ".join(f"`{c}` double" for c in value_cols) + ", rest array<struct<word: binary, times: bigint>>"
+    schema = f"row long, id {id_type}, n_bytes long, n_words long, " + ", ".join(f"`{c}` double" for c in (*value_cols, *extra_cols)) + ", rest array<struct<word: binary, times: bigint>>"
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_col)
     parts = keyed.mapInArrow(split_off, schema)
     # A row without rare words gets a key of its own: it holds a space, so no word equals it and no task gets them all.
-    rare = parts.select("row", "id", "n_bytes", "n_words", *value_cols, F.explode_outer("rest").alias("r")).select(
-        "row", "id", "n_bytes", "n_words", *(F.col(c).alias(f"own_{c}") for c in value_cols), F.coalesce("r.word", F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary")).alias("word"), F.coalesce("r.times", F.lit(0)).alias("times")
+    rare = parts.select("row", "id", "n_bytes", "n_words", *value_cols, *extra_cols, F.explode_outer("rest").alias("r")).select(
+        "row", "id", "n_bytes", "n_words", *extra_cols, *(F.col(c).alias(f"own_{c}") for c in value_cols), F.coalesce("r.word", F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary")).alias("word"), F.coalesce("r.times", F.lit(0)).alias("times")
     )
     joined = rare.join(words.select("word", *value_cols), "word", "left")
     return (
         joined.groupBy("row")
-        .agg(F.first("id").alias(id_col), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words"), *((F.first(f"own_{c}") + F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("times"))).alias(c) for c in value_cols))
+        .agg(F.first("id").alias(id_col), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words"), *(F.first(c).alias(c) for c in extra_cols), *((F.first(f"own_{c}") + F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("times"))).alias(c) for c in value_cols))
         .drop("row")
     )
-
-
-def materialised_words(words: DataFrame, tag: str) -> DataFrame:
-    return materialise(words, tag)
