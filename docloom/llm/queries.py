@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, mixing, tool_chat
+from .cotraining import op5_quality
 from .decontaminate import op4_decontaminate
 from .exact_dedup import op6_exact_dedup
 from .gru_lm import op8_gru_scores
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tool_chat": op2_tool_chat,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_html_text": op7_html_text,
     "op8_gru_scores": op8_gru_scores,
@@ -32,5 +34,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.oracle(),
     "op2_tool_chat": tool_chat.ORACLE,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
