@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from docloom.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "hybrid_rrf"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
