@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def sha256_text(column) -> F.Column:
     return F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """An array's numbers, compressed, as a field of a row."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def expanded(x: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=dtype)

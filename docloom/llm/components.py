@@ -22,7 +22,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooks = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")), "cc-hooks")
         while True:
             above = hooks.select(F.col("node").alias("mid"), F.col("up").alias("top"))
-            next_hooks = materialise(hooks.join(above, hooks.up == above.mid).select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "cc-hooks")
+            higher = hooks.select(F.col("node").alias("mid2"), F.col("up").alias("top2"))
+            two = hooks.join(above, F.col("up") == F.col("mid")).join(higher, F.col("top") == F.col("mid2"))
+            next_hooks = materialise(two.select("node", F.col("top2").alias("up"), (F.col("top2") != F.col("up")).alias("moved")), "cc-hooks")
             moved = not next_hooks.filter("moved").isEmpty()
             hooks = next_hooks.select("node", "up")
             if not moved:

@@ -241,7 +241,7 @@ def _sample_rows(docs: DataFrame, ids: list, id_col: str) -> list[tuple]:
     if not ids:
         return []
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], f"_id {docs.schema[id_col].dataType.simpleString()}"))
-    found = docs.join(wanted, F.col(id_col) == F.col("_id"), "left_semi").select(id_col, "text", "lang", "source", "n_chars")
+    found = docs.select(id_col, "text", "lang", "source", "n_chars").join(wanted, F.col(id_col) == F.col("_id"), "left_semi")
     feature = pa.struct([("slots", pa.binary()), ("weights", pa.binary()), ("dense", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

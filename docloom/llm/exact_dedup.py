@@ -127,8 +127,9 @@ def keep_last_of_each_text(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """The rows of ``docs`` that stay, all columns.  Rows that repeat both id and text count as one."""
     groups = materialise(duplicate_groups(docs, id_col, text_col), "dedup-result")
     gone = groups.filter(~F.col("kept"))
-    stay = groups.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (sha256_text(F.col(text_col)) == F.col("_sha")), "left_semi")
+    stay_id, stay_sha = fresh(docs.columns, "_id"), fresh(docs.columns, "_sha")
+    stay = groups.filter("kept").select(F.col(id_col).alias(stay_id), F.col("text_sha256").alias(stay_sha))
+    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col(stay_id)) & (sha256_text(F.col(text_col)) == F.col(stay_sha)), "left_semi")
     repeated = gone.filter(F.col("keep_id").eqNullSafe(F.col(id_col)))
     if repeated.isEmpty():
         return kept

@@ -18,13 +18,15 @@ smaller bands use neighbourhoods.
 
 Groups of equal entries are never paired in full: all members of a group link to its least class as
 candidates, verified exactly, and verified links are contracted to components.  Only groups that still
-span several components are looked at again, pair by pair up to ``GROUP`` members, where pairs must share
-as many entries as their allocation guarantees.  More frequent entries get 0.  Sets whose allocation then falls short (a frequent
+span several components are looked at again: members of different components are compared where that makes
+at most ``GROUP`` pairs per member, and must share as many entries as their allocation guarantees.  Entries
+with more pairs get 0.  Sets whose allocation then falls short (a frequent
 passage fills most of them) are joined with each other by prefixes of their rarest shingles instead, so
 no link is lost.
 
-Before entries are shuffled, each task combines the equal entries of its batch into one, with direct
-candidates to its least class; a hot entry crosses the shuffle once per batch, not once per document.
+Before entries are shuffled, each task combines the equal entries of its batch into one and packs them
+by hash bucket; a hot entry crosses the shuffle once per batch, not once per document.  Rows are told
+apart by their place in the scan, so ``docs`` should be read from files.
 
 Shingles, subsets and classes are 64-bit hashes.
 
@@ -42,10 +44,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, shuffle_partitions, table, text_bytes
+from .common import expanded as _expanded
+from .common import fresh, materialise, table, text_bytes
+from .common import squeezed as _squeezed
 from .components import connected_components
 from .wordhash import chunks, hash_words, mix, short_sequence, windows
 
@@ -55,6 +59,11 @@ SPARE = 1.25
 GROUP = 64
 #: Documents whose classes a task remembers so as to emit copies once.
 SEEN = 1_000_000
+#: Entries that are packed together, and shingles per bucket.
+BATCH_ENTRIES = 700_000
+BUCKET_SHINGLES = 2_000_000
+#: Bits of an entry beside its bucket.
+NAME_BITS = 40
 
 
 @cache
@@ -116,8 +125,8 @@ def _band_of(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(bands()), sizes, side="right") - 1
 
 
-def _entries(shingles: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(entries, set of each, band of each, slack of each set or a sentinel) for own and lower bands.
+def _entries(shingles: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(entries, set of each, 0, slack of each set), and the same with 1 for the band below.
 
     slack: what is allocated beyond the differences allowed, less one; 0 or more means that all links
     within the band are found.
@@ -161,7 +170,7 @@ def _entries(shingles: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarr
             entries.append(mix(sums[group] - value[inner] + salt[group]))
             sets.append(owner[group])
         entries, sets = np.concatenate(entries), np.concatenate(sets)
-        yield entries, sets, band[sets], slack, band
+        yield entries, sets, lower, slack
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -169,99 +178,158 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [text_bytes(t).lower() for t in column.to_pylist()]
 
 
-def document_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, cls) per row."""
+def document_classes(docs: DataFrame) -> DataFrame:
+    """(row, id, n_shingles, cls) per row of docs(row, id, text)."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-            for _, shingles, n in shingle_sets(_texts(batch.column(1))):
+            for _, shingles, n in shingle_sets(_texts(batch.column(2))):
                 sizes.append(n)
                 keys.append(class_keys(shingles, n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys).view(np.int64))], ["id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys).view(np.int64))], ["row", "id", "n_shingles", "cls"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(classes, f"id {id_type}, n_shingles long, cls long")
+    return docs.mapInArrow(classes, f"row long, id {docs.schema['id'].dataType.simpleString()}, n_shingles long, cls long")
 
 
-ENTRY = "entry long, cls long, center long, band int, size long, slack long"
+PACKED = "key long, kind int, batch long, a binary, b binary, c binary"
+MEMBERS = "entry long, cls long, band int, own int, size int, slack int"
+ENTRIES, CLASSES, SAME = range(3)
 
 
-def _combined(entry, cls, band, size, slack) -> pa.RecordBatch:
-    """Equal entries of a batch as one, with the other classes as direct candidates of the least."""
-    order = np.lexsort((cls, entry))
-    entry, cls, band, size, slack = entry[order], cls[order], band[order], size[order], slack[order]
-    new = np.ones(len(entry), dtype=bool)
-    new[1:] = entry[1:] != entry[:-1]
-    distinct = new.copy()
-    distinct[1:] |= cls[1:] != cls[:-1]
-    center = cls[np.maximum.accumulate(np.where(new, np.arange(len(entry)), 0))]
-    return pa.RecordBatch.from_arrays([pa.array(x[distinct]) for x in (entry, cls, center, band.astype(np.int32), size, slack)], ["entry", "cls", "center", "band", "size", "slack"])
+def _pack(batch: int, keys: np.ndarray, bands_: np.ndarray, sizes: np.ndarray, slacks: np.ndarray, entries: np.ndarray, owner: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of PACKED for one batch of classes.
+
+    owner: twice the number of the class in the batch, plus 1 for entries of the band below.  Each
+    distinct entry goes to its bucket once; entries of several classes are listed for the batch itself.
+    """
+    out = [(-1 - batch, CLASSES, batch, _squeezed(keys), _squeezed(np.stack([bands_, sizes]).astype(np.int32)), _squeezed(slacks.astype(np.int32)))]
+    order = np.lexsort((owner, entries))
+    entries, owner = entries[order], owner[order]
+    new = np.ones(len(entries), dtype=bool)
+    new[1:] = entries[1:] != entries[:-1]
+    lead = np.flatnonzero(new)
+    several = np.diff(np.concatenate([lead, [len(entries)]])) > 1
+    member = np.repeat(several, np.diff(np.concatenate([lead, [len(entries)]])))
+    if member.any():
+        out.append((-1 - batch, SAME, batch, _squeezed(entry_names(entries[member], buckets)), _squeezed(owner[member].astype(np.int32)), b""))
+    entries, owner = entries[lead], owner[lead]
+    bucket = bucket_of(entries, buckets)
+    by = np.lexsort((owner, bucket))
+    entries, owner, bucket, several = entries[by], owner[by], bucket[by], several[by]
+    cuts = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]])
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        out.append((int(bucket[x]), ENTRIES, batch, _low_bytes(entries[x:y]), _squeezed(np.diff(owner[x:y], prepend=0).astype(np.int32)), np.packbits(several[x:y]).tobytes()))
+    return out
+
+
+def bucket_of(entries: np.ndarray, buckets: int) -> np.ndarray:
+    return (((entries >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def entry_names(entries: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and low NAME_BITS of an entry: its name from the bucket on."""
+    return ((bucket_of(entries, buckets).astype(np.uint64) << np.uint64(NAME_BITS)) | (entries & np.uint64((1 << NAME_BITS) - 1))).view(np.int64)
 
 
-def index_entries(docs: DataFrame, text_col: str) -> DataFrame:
-    """The entries of all classes, combined per batch; center is cls itself where a row stands for its batch."""
+def _low_bytes(entries: np.ndarray) -> bytes:
+    """The low 40 bits: 4 bytes of each, then 1 of each."""
+    return entries.astype(np.uint32).tobytes() + (entries >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def _low_bits(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, dtype=np.uint32, count=n).astype(np.int64) | (np.frombuffer(raw, dtype=np.uint8, offset=4 * n).astype(np.int64) << np.int64(32))
+
+
+def packed_entries(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of PACKED for all classes of docs(row, text)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+
+        def record(batch: int, parts: list) -> pa.RecordBatch:
+            packed = _pack(batch, *(np.concatenate(x) for x in zip(*parts, strict=True)), buckets)
+            types = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(zip(*packed, strict=True), types, strict=True)], ["key", "kind", "batch", "a", "b", "c"])
+
         for batch in batches:
-            parts = []
-            for _, shingles, n in shingle_sets(_texts(batch.column(0))):
+            rows = batch.column(0).to_pylist()
+            parts, size, classes, first = [], 0, 0, None
+            for start, shingles, n in shingle_sets(_texts(batch.column(1))):
                 keys = class_keys(shingles, n).view(np.int64)
                 fresh_set = np.zeros(len(keys), dtype=bool)
                 for i, key in enumerate(keys.tolist()):
-                    if key not in seen:
+                    if n[i] >= 4 and key not in seen:
                         seen.add(key)
                         fresh_set[i] = True
                 if len(seen) > SEEN:
                     seen.clear()
                 shingles, n, keys = shingles[np.repeat(fresh_set, n)], n[fresh_set], keys[fresh_set]
-                for entries, sets, band, slack, _ in _entries(shingles, n):
-                    parts.append((entries.view(np.int64), keys[sets], band, n[sets], slack[sets]))
+                if not len(keys):
+                    continue
+                first = rows[start] if first is None else first
+                entries, owner, slacks = [], [], np.full((len(keys), 2), 1 << 30, dtype=np.int64)
+                for found, sets, lower, slack in _entries(shingles, n):
+                    entries.append(found)
+                    owner.append((sets + classes) * 2 + lower)
+                    slacks[:, lower] = slack
+                parts.append((keys, _band_of(n), n, slacks.ravel(), np.concatenate(entries), np.concatenate(owner)))
+                size += len(parts[-1][4])
+                classes += len(keys)
+                if size > BATCH_ENTRIES:
+                    yield record(first, parts)
+                    parts, size, classes, first = [], 0, 0, None
             if parts:
-                yield _combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-    return docs.select(text_col).mapInArrow(emit, ENTRY)
-
-
-def candidate_links(entries: DataFrame) -> DataFrame:
-    """(entry, cls, center, ...) for all entries that several classes have; center is the least class of its part."""
-    spark = entries.sparkSession
-    key = F.when(F.col("cls") == F.col("center"), F.col("entry")).otherwise(F.col("cls"))
-    dealt = entries.repartition(shuffle_partitions(spark), key).sortWithinPartitions("entry", "cls")
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_entry, last_center, last_cls = None, None, None
-        for batch in batches:
-            entry, cls, center = (batch.column(i).to_numpy() for i in range(3))
-            direct = np.flatnonzero(cls != center)
-            lead = np.flatnonzero(cls == center)
-            e, c = entry[lead], cls[lead]
-            keep = np.zeros(0, dtype=np.int64)
-            if len(e):
-                new = np.ones(len(e), dtype=bool)
-                new[1:] = e[1:] != e[:-1]
-                again = np.zeros(len(e), dtype=bool)
-                again[1:] = ~new[1:] & (c[1:] == c[:-1])
-                first = c[np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))]
-                if e[0] == last_entry:
-                    run = np.cumsum(new) == 1
-                    first = np.where(run, last_center, first)
-                    again[0] = c[0] == last_cls
-                    new[0] = False
-                last_entry, last_center, last_cls = e[-1], first[-1], c[-1]
-                keep = np.flatnonzero(~new & ~again & (c != first))
-            rows = np.concatenate([direct, lead[keep]])
-            if len(rows):
-                centers = np.concatenate([center[direct], first[keep] if len(e) else np.zeros(0, dtype=np.int64)])
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(centers), *(taken.column(i) for i in (3, 4, 5))], batch.schema.names)
-
-    return dealt.mapInArrow(runs, ENTRY)
-
-
-def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """(cls, shingles) of the wanted(id) rows, once per class."""
+                yield record(first, parts)
+
+    return docs.mapInArrow(emit, PACKED)
+
+
+def _bucket_hits(group: pa.Table) -> pa.Table:
+    """The entries of a bucket that several batches have, or several classes of a batch."""
+    names = ["batch", "kind", "a", "b", "c"]
+    kind = group.column("kind").to_numpy()
+    if kind[0] != ENTRIES:
+        return group.select(names)
+    key = group.column("key")[0].as_py()
+    a, b, c, batch = (group.column(n).to_pylist() for n in ("a", "b", "c", "batch"))
+    low = [_low_bits(x) for x in a]
+    flags = [np.unpackbits(np.frombuffer(f, dtype=np.uint8))[: len(x)].astype(bool) for f, x in zip(c, low, strict=True)]
+    ordered = np.sort(np.concatenate(low))
+    shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    out = []
+    for x, f, owners, of in zip(low, flags, b, batch, strict=True):
+        # Entries of several classes of the batch are listed there already.
+        hit = np.flatnonzero(np.isin(x, shared) & ~f)
+        if len(hit):
+            out.append((of, ENTRIES, _squeezed((np.int64(key) << np.int64(NAME_BITS)) | x[hit]), _squeezed(np.cumsum(_expanded(owners, np.int32), dtype=np.int32)[hit]), b""))
+    fields = list(zip(*out, strict=True)) if out else [[]] * 5
+    return pa.table([pa.array(f, t) for f, t in zip(fields, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
+
+
+def _batch_members(group: pa.Table) -> pa.Table:
+    """Rows of MEMBERS of one batch."""
+    kinds, a, b, c = (group.column(n).to_pylist() for n in ("kind", "a", "b", "c"))
+    at = kinds.index(CLASSES)
+    keys, (own, size), slack = _expanded(a[at], np.int64), _expanded(b[at], np.int32).reshape(2, -1), _expanded(c[at], np.int32)
+    rest = [i for i, k in enumerate(kinds) if k != CLASSES]
+    entries = np.concatenate([_expanded(a[i], np.int64) for i in rest]) if rest else np.zeros(0, dtype=np.int64)
+    owner = np.concatenate([_expanded(b[i], np.int32) for i in rest]) if rest else np.zeros(0, dtype=np.int32)
+    who = owner // 2
+    columns = (entries, keys[who], (own[who] - owner % 2).astype(np.int32), own[who], size[who], slack[owner])
+    return pa.table([pa.array(x) for x in columns], names=["entry", "cls", "band", "own", "size", "slack"])
+
+
+def shared_entries(docs: DataFrame, n_shingles: int) -> DataFrame:
+    """Rows of MEMBERS: the entries that several classes have, with each of these classes once or more."""
+    buckets = max(1, -(-n_shingles // BUCKET_SHINGLES))
+    hits = packed_entries(docs, buckets).groupBy("key").applyInArrow(_bucket_hits, "batch long, kind int, a binary, b binary, c binary")
+    return hits.groupBy("batch").applyInArrow(_batch_members, MEMBERS)
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, shingles) of the rows wanted(wanted_row) of docs(row, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,7 +338,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(shingles.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(class_keys(shingles, n).view(np.int64)), lists], ["cls", "shingles"])
 
-    rows = docs.join(wanted, F.col(docs.columns[0]) == F.col("wanted_id"), "left_semi").select(text_col)
+    rows = docs.join(wanted, F.col("row") == F.col("wanted_row"), "left_semi").select("text")
     return rows.mapInArrow(sets, "cls long, shingles array<long>")
 
 
@@ -298,68 +366,97 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose members are in different components so far."""
-    la = labels.select(F.col("node").alias("na"), F.col("component").alias("ca"))
-    lb = labels.select(F.col("node").alias("nb"), F.col("component").alias("cb"))
-    known = pairs.join(la, F.col("a") == F.col("na"), "left").join(lb, F.col("b") == F.col("nb"), "left")
-    return known.filter(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select(*pairs.columns)
+def _cross_pairs(rows: DataFrame, key: str, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, busy): pairs of rows(key, cls, component, ...) with equal key and different components.
+
+    Only members outside a key's largest component are joined with all its members, so members of one
+    component never meet.  Keys with more than ``most`` such pairs per member are left out and listed in
+    busy(key); None leaves out none.  Pairs have x and y as aliases of their rows.
+    """
+    sizes = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
+    stats = sizes.groupBy(key).agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("inner"), F.max(F.struct("n", "component")).alias("top"))
+    stats = stats.filter(F.col("top.n") < F.col("members")).select(F.col(key).alias("k"), F.col("top.component").alias("largest"), ((F.col("members") * F.col("members") - F.col("inner")) / 2 > F.lit(most or 0) * F.col("members")).alias("busy"))
+    stats = materialise(stats if most is not None else stats.withColumn("busy", F.lit(False)), "jaccard-keys")
+    open_rows = rows.join(stats.filter("NOT busy"), F.col(key) == F.col("k")).drop("k", "busy")
+    x, y = open_rows.filter("component <> largest").alias("x"), open_rows.alias("y")
+    # Two members outside the largest component meet once.
+    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls"))
+    pairs = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.component") != F.col("y.component")) & once)
+    return pairs, stats.filter("busy").select(F.col("k").alias(key))
+
+
+def _matching_sizes(x: str, y: str) -> F.Column:
+    return (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
 
 
 def _rare_prefix_pairs(sets: DataFrame, unresolved: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of unresolved classes that share one of their rarest shingles (prefix filter)."""
-    mine = sets.join(unresolved.select("cls"), "cls", "left_semi").select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    """Pairs of unresolved classes of different components that share one of their rarest shingles (prefix filter)."""
+    named = unresolved.join(labels, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"))
+    mine = sets.join(named, "cls").select("cls", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     mine = materialise(mine, "jaccard-tokens")
     often = mine.groupBy("shingle").count()
-    from pyspark.sql import Window
-
     # Linked sets share at least 4/5 of either, so one of the rarest n - ceil(4n/5) + 1 of each.
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("count", "shingle"))
-    prefix = materialise(mine.join(often, "shingle").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("shingle", "cls", "n"), "jaccard-prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
-    return _across(x.join(y, on).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), labels)
-
-
-def class_components(docs: DataFrame, per_row: DataFrame, text_col: str) -> DataFrame:
-    """(node, component) of the classes that link with another one.  ``docs`` is (id, text)."""
-    links = materialise(candidate_links(index_entries(docs, text_col)), "jaccard-links")
-    touched = links.select(F.col("cls").alias("c")).union(links.select("center")).distinct()
-    first_ids = per_row.filter("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("wanted_id"))
-    wanted = first_ids.join(touched, F.col("cls") == F.col("c"), "left_semi").select("wanted_id")
-    sets = materialise(class_sets(docs, wanted, text_col).join(touched, F.col("cls") == F.col("c"), "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
-
-    # First each class with the center that it shares most entries with, then all others.
-    by_center = materialise(links.groupBy("cls", "center").count(), "jaccard-pairs")
-    best = by_center.groupBy("cls").agg(F.max_by("center", "count").alias("center"))
-    tested = materialise(_pairs(best, "cls", "center"), "jaccard-tested")
+    prefix = mine.join(often, "shingle").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * 4 / 5) + 1)
+    pairs, _ = _cross_pairs(materialise(prefix.select("shingle", "cls", "component", "size"), "jaccard-prefix"), "shingle", None)
+    return _pairs(pairs.filter(_matching_sizes("x.size", "y.size")).select(F.col("x.cls").alias("c"), F.col("y.cls").alias("d")), "c", "d")
+
+
+def _needed(slack: str) -> F.Column:
+    """Entries that linked sets share at least: what is allocated beyond the differences, 2 for a segment with neighbourhood."""
+    plain = [b for b in range(len(bands()) - 1) if not allocation(b)[1]][0]
+    return F.greatest(F.lit(1), F.when(F.col("band") >= plain, F.col(slack) + 1).otherwise(F.floor(F.col(slack) / 2) + 1))
+
+
+def _possible(members: DataFrame) -> DataFrame:
+    """Members without sets that share too few entries in a band to link there, and entries that this leaves alone."""
+    enough = members.groupBy("cls", "band", "slack").count().filter(F.col("count") >= _needed("slack")).select("cls", "band")
+    kept = members.join(enough, ["cls", "band"], "left_semi")
+    several = kept.groupBy("entry").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("entry")
+    return kept.join(several, "entry", "left_semi")
+
+
+def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of matching size that share as many entries as linked sets must in the smaller one's band."""
+    mine = ("entry", "band", "own", "size", "slack")
+    x = members.select(F.col("cls").alias("a"), "entry", "band", *(F.col(c).alias(f"x_{c}") for c in mine[2:]))
+    y = members.select(F.col("cls").alias("b"), "entry", *(F.col(c).alias(f"y_{c}") for c in mine[2:]))
+    both = pairs.join(x, "a").join(y, ["b", "entry"])
+    fit = both.filter((F.col("band") == F.least("x_own", "y_own")) & _matching_sizes("x_size", "y_size"))
+    counted = fit.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max(F.greatest("x_slack", "y_slack")).alias("slack"))
+    return counted.filter(F.col("n") >= _needed("slack")).select("a", "b").distinct()
+
+
+def class_components(docs: DataFrame, per_row: DataFrame) -> DataFrame:
+    """(node, component) of the classes that link with another one.  ``docs`` is (row, id, text)."""
+    n_shingles = per_row.agg(F.sum("n_shingles")).first()[0] or 0
+    members = materialise(shared_entries(docs.select("row", "text"), int(n_shingles)).distinct(), "jaccard-members")
+    members = materialise(_possible(_possible(members)), "jaccard-members")
+    touched = members.select(F.col("cls").alias("c")).distinct()
+    first_rows = per_row.filter("n_shingles > 0").groupBy("cls").agg(F.min("row").alias("wanted_row"))
+    wanted = first_rows.join(touched, F.col("cls") == F.col("c"), "left_semi").select("wanted_row")
+    sets = materialise(class_sets(docs.select("row", "text"), wanted), "jaccard-sets")
+
+    # All members of an entry with its least class.
+    centers = members.groupBy("entry").agg(F.min("cls").alias("center"))
+    tested = materialise(_likely(_pairs(members.join(centers, "entry"), "cls", "center"), members), "jaccard-tested")
     edges = materialise(verified(tested, sets), "jaccard-edges")
     labels = connected_components(edges)
-    second = materialise(_across(_pairs(by_center, "cls", "center").join(tested, ["a", "b"], "left_anti"), labels), "jaccard-tested")
-    more = materialise(verified(second, sets), "jaccard-edges")
-    edges, tested = edges.unionByName(more), tested.unionByName(second)
-    labels = connected_components(edges)
 
     # Entries that still span components.
-    lead = links.select("entry", F.col("center").alias("cls"), "band").distinct()
-    members = links.select("entry", "cls", "band").unionByName(lead).distinct()
-    named = members.join(labels, members.cls == labels.node, "left").select("entry", "cls", "band", F.coalesce("component", "cls").alias("component"))
-    spread = named.groupBy("entry").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).filter("c0 <> c1").select("entry", "members")
-    open_rows = materialise(named.join(spread, "entry"), "jaccard-open")
-    facts = links.select("cls", "band", "slack").distinct()
-    frequent = open_rows.filter(F.col("members") > GROUP)
-    lost = frequent.groupBy("cls", "band").agg((F.count("*") * 2).alias("lost"))
-    # What a class has left within a band.  A class that only ever was a center has its slack in its own row of another entry, or is taken as short.
-    left = materialise(open_rows.select("cls", "band").distinct().join(facts, ["cls", "band"], "left").join(lost, ["cls", "band"], "left").select("cls", "band", (F.coalesce("slack", F.lit(0)) - F.coalesce("lost", F.lit(0))).alias("left")), "jaccard-left")
-
-    cold = open_rows.filter(F.col("members") <= GROUP)
-    x, y = cold.alias("x"), cold.alias("y")
-    on = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
-    shared = x.join(y, on).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.band").alias("band")).count()
-    plain_bands = [b for b in range(len(bands()) - 1) if not allocation(b)[1]][:1]
-    need = left.select(F.col("cls").alias("a"), "band", F.col("left").alias("need"))
-    enough = shared.join(need, ["a", "band"]).filter((F.col("band") < (plain_bands[0] if plain_bands else 1 << 30)) | (F.col("count") >= F.col("need") + 1))
-    third = materialise(enough.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-tested")
+    named = members.join(labels, F.col("cls") == F.col("node"), "left").select("entry", "cls", "band", "own", "size", "slack", F.coalesce("component", "cls").alias("component"))
+    spread = named.groupBy("entry").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("entry")
+    open_rows = materialise(named.join(spread, "entry", "left_semi"), "jaccard-open")
+    pairs, busy = _cross_pairs(open_rows, "entry", GROUP)
+    lost = open_rows.join(busy, "entry", "left_semi").groupBy("cls", "band").agg((F.count("*") * 2).alias("lost"))
+    # What a class has allocated beyond the differences allowed in a band, frequent entries left out.
+    left = materialise(open_rows.select("cls", "band", "slack").distinct().join(lost, ["cls", "band"], "left").select("cls", "band", (F.col("slack") - F.coalesce("lost", F.lit(0))).alias("left")), "jaccard-left")
+    fit = pairs.filter((F.col("x.band") == F.least("x.own", "y.own")) & _matching_sizes("x.size", "y.size"))
+    shared = fit.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.col("x.band").alias("band")).agg(F.count("*").alias("n"))
+    for c in ("a", "b"):
+        shared = shared.join(left.select(F.col("cls").alias(c), "band", F.col("left").alias(f"left_{c}")), [c, "band"])
+    likely = shared.withColumn("slack", F.greatest("left_a", "left_b")).filter(F.col("n") >= _needed("slack"))
+    third = materialise(likely.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-tested")
     edges = edges.unionByName(materialise(verified(third, sets), "jaccard-edges"))
 
     short = materialise(left.filter("left < 0").select("cls").distinct(), "jaccard-short")
@@ -372,9 +469,9 @@ def class_components(docs: DataFrame, per_row: DataFrame, text_col: str) -> Data
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    per_row = materialise(document_classes(rows, "id", "text"), "jaccard-rows")
-    parts = class_components(rows, per_row, "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    per_row = materialise(document_classes(rows), "jaccard-rows")
+    parts = class_components(rows, per_row)
     classes = per_row.filter("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("least"))
     named = classes.join(parts, classes.cls == parts.node, "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

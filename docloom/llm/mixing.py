@@ -72,28 +72,25 @@ def poisson_table(mean) -> F.Column:
 
 def poisson_mix(docs: DataFrame, weights: Mapping[str | None, float] | DataFrame | None = None, total: int | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", default_weight: float = 1.0) -> DataFrame:
     """All columns of ``docs`` plus copy_no (0, 1, ...), one row per copy, in a random global order."""
-    spark = docs.sparkSession
-    own = docs.columns
-    src, salt, copy, key = (fresh(own, x) for x in ("_mix_source", "_mix_salt", "copy_no", "_mix_key"))
+    # Rows travel as one struct, so no column of theirs can clash with those used here.
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), ident.alias("ident"), F.col(source_col).cast("string").alias("source"))
     rates = repetition_rates(docs, weights, total, source_col, default_weight)
     pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int")
-    rates = rates.select(F.col("source").alias(src), pieces.alias("_mix_pieces"), poisson_table(F.col("rate") / pieces).alias("_mix_table"))
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    left = docs.withColumn(src, F.col(source_col).cast("string"))
-    n_sources = rates.select(src).limit(BROADCAST_SOURCES + 1).count()
-    if n_sources <= BROADCAST_SOURCES:
-        r = F.broadcast(rates.withColumnRenamed(src, "_mix_r"))
-        joined = left.join(r, F.col(src).eqNullSafe(F.col("_mix_r")))
+    rates = rates.select(F.col("source").alias("named"), pieces.alias("pieces"), poisson_table(F.col("rate") / pieces).alias("table"))
+    same = F.col("source").eqNullSafe(F.col("named"))
+    if rates.select("named").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(rates), same)
     else:
-        left = left.withColumn(salt, F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int"))
-        r = rates.withColumnRenamed(src, "_mix_r").withColumn("_mix_rs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = left.join(r, F.col(src).eqNullSafe(F.col("_mix_r")) & (F.col(salt) == F.col("_mix_rs")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_mix_pieces")), lambda j: uniform(F.lit(str(seed)), ident, j.cast("string")))
-    count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("_mix_table"), lambda c: c <= u)))
-    copies = joined.withColumn("_mix_count", count).filter("_mix_count > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_mix_count") - 1)))
-    order = uniform(F.lit(str(seed)), F.lit("order"), ident, F.col(copy).cast("string"))
-    shuffled = copies.withColumn(key, order).repartition(F.col(key)).sortWithinPartitions(key)
-    return shuffled.select(*(F.col(f"`{c}`") for c in own), F.col(copy))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(SALTS)).cast("int"))
+        spread = rates.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(spread, same & (F.col("salt") == F.col("of_salt")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda j: uniform(F.lit(str(seed)), F.col("ident"), j.cast("string")))
+    count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("table"), lambda c: c <= u)))
+    copies = joined.select("doc", "ident", count.alias("copies")).filter("copies > 0").select("doc", "ident", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    order = uniform(F.lit(str(seed)), F.lit("order"), F.col("ident"), F.col("copy").cast("string"))
+    shuffled = copies.withColumn("order", order).repartition(F.col("order")).sortWithinPartitions("order")
+    return shuffled.select("doc.*", F.col("copy").alias(fresh(docs.columns, "copy_no")))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

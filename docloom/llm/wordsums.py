@@ -64,12 +64,13 @@ def frequent_values(words: DataFrame, value_cols: list[str], limit: int = FREQUE
     return dict(zip(rows["word"], values, strict=True))
 
 
-def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], id_col: str = "doc_id", text_col: str = "text", split: Splitter = ascii_words, limit: int = FREQUENT_WORDS, extra: Callable[[list[list]], dict] | None = None, extra_cols: tuple[str, ...] = ()) -> DataFrame:
+def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], id_col: str = "doc_id", text_col: str = "text", split: Splitter = ascii_words, limit: int = FREQUENT_WORDS, encode: Callable[[list], object] | None = None, extra: Callable[[list], dict] | None = None, extra_cols: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_words`` and, for each value column, the sum over the row's words.
 
     ``words`` has word, n and the value columns (double); words that it lacks count as 0.
     Repeated ids stay separate rows: rows are told apart by their place in the scan.
-    ``extra`` gets the words of each text of a batch, in order, and returns the double columns ``extra_cols``.
+    ``encode`` turns the words of a text, in order, into something small; ``extra`` gets these of all texts of
+    a batch and returns the double columns ``extra_cols``.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent_values(words, value_cols, limit))
@@ -86,8 +87,8 @@ def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], i
                 in_order = split(raw)
                 found = Counter(in_order)
                 n_words.append(len(in_order))
-                if extra:
-                    texts.append(in_order)
+                if encode:
+                    texts.append(encode(in_order))
                 rest, total = [], [0.0] * k
                 for word, times in found.items():
                     value = table.get(word)

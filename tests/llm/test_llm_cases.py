@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from docloom.llm import cotraining, decontaminate, exact_dedup, gru_lm, html_text, jaccard_join, mixing, substring_dedup, token_counts, tool_chat
 from docloom.llm.components import connected_components
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, _mix_source string, copy_no int, _gone int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, ident string, copy_no int, _gone int, _id long"
 BASE = " ".join(f"word{i}" for i in range(120))
 LONG = " ".join(f"long{i % 977}x{i}" for i in range(30_000))
 
 
 def docs(spark, rows, tmp_path=None, name="d"):
-    df = spark.createDataFrame([(k, t, "en", "s", 1, "x", 5, 6) for k, t in rows], DOCS)
+    df = spark.createDataFrame([(k, t, "en", "s", 1, "x", 5, 6, 7) for k, t in rows], DOCS)
     if tmp_path is None:
         return df
     path = str(tmp_path / name)
