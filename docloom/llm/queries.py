@@ -34,6 +34,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.oracle(),
     "op2_tool_chat": tool_chat.ORACLE,
-    "op5_quality": op5_quality,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
