@@ -75,12 +75,12 @@ def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], i
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent_values(words, value_cols, limit))
     k = len(value_cols)
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 
     def split_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:
-            sizes, n_words, sums, rests, texts = [], [], [[] for _ in range(k)], [], []
+            sizes, n_words, sums, texts = [], [], [[] for _ in range(k)], []
+            rest_words, rest_times, ends = [], [], [0]
             for text in batch.column(2).to_pylist():
                 raw = text_bytes(text)
                 sizes.append(len(raw))
@@ -89,11 +89,12 @@ def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], i
                 n_words.append(len(in_order))
                 if encode:
                     texts.append(encode(in_order))
-                rest, total = [], [0.0] * k
+                total = [0.0] * k
                 for word, times in found.items():
                     value = table.get(word)
                     if value is None:
-                        rest.append((word, times))
+                        rest_words.append(word)
+                        rest_times.append(times)
                     elif k == 1:
                         total[0] += value * times
                     else:
@@ -101,10 +102,13 @@ def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], i
                             total[i] += value[i] * times
                 for i in range(k):
                     sums[i].append(total[i])
-                rests.append([{"word": w, "times": t} for w, t in rest])
+                ends.append(len(rest_words))
+            rest = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_times, pa.int64())], ["word", "times"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
+            del rest_words, rest_times
             more = extra(texts) if extra else {}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(n_words, pa.int64()), *(pa.array(s, pa.float64()) for s in sums), *(pa.array(more[c], pa.float64()) for c in extra_cols), pa.array(rests, rest_type)],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(n_words, pa.int64()), *(pa.array(s, pa.float64()) for s in sums), *(pa.array(more[c], pa.float64()) for c in extra_cols), rest],
                 ["row", "id", "n_bytes", "n_words", *value_cols, *extra_cols, "rest"],
             )
 
