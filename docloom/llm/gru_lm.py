@@ -6,10 +6,9 @@ words.  Other words are the token UNKNOWN, times their share of the counts outsi
 
 The network is a GRU in numpy with a class-factored softmax (class, then word within class).  Training
 is truncated backpropagation: windows of ``STEPS`` tokens, with the state carried from window to window
-of a document.  It runs data-parallel on a share of the training documents that grows with the corpus,
-(``TRAIN_TOKENS`` + ``TRAIN_SHARE`` of its tokens; all of a small one): each of the trainers takes whole
-documents, and the trainers' parameters are averaged in Spark after each round.  Scoring reads every
-document whole, state carried to its end.
+of a document.  It runs data-parallel on all training documents in every round: each of the trainers
+takes whole documents, block after block, and the trainers' parameters are averaged in Spark after each
+round.  Scoring reads every document whole, state carried to its end.
 
 Defined results: a null text counts as empty, so its tokens are the end alone; a null id counts as the
 empty text in the crc32; every input row gives one row, also where ids repeat; without training
@@ -20,14 +19,14 @@ ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_bytes
+from .common import expanded, materialise, squeezed, table, text_bytes
 from .wordsums import count_words, sum_per_document
 
 CLASSES, PER_CLASS, HIDDEN = 32, 32, 16
@@ -36,9 +35,10 @@ UNKNOWN, END = 0, 1
 STEPS = 24
 ROUNDS = 4
 RATE = 0.01
-TRAIN_TOKENS = 1_500_000
-TRAIN_SHARE = 1 / 40
 TRAINER_TOKENS = 400_000
+#: Beyond so many trainers each takes more documents, in blocks of BLOCK_TOKENS (but for a single longer document).
+MOST_TRAINERS = 128
+BLOCK_TOKENS = 2_000_000
 SCORE_LANES, TRAIN_LANES = 1024, 48
 #: Tokens that a task scores at once, but for a single longer document.
 SCORE_TOKENS = 2_000_000
@@ -285,20 +285,38 @@ def train_documents(flat: np.ndarray, docs: list[np.ndarray], rate: float, lanes
     return flat, seen
 
 
+def train_blocks(flat: np.ndarray, docs: Iterable[np.ndarray], rate: float) -> tuple[np.ndarray, int]:
+    """``train_documents`` over all documents, ``BLOCK_TOKENS`` at a time; tokens seen."""
+    block, size, seen = [], 0, 0
+    for one in docs:
+        if block and size + len(one) > BLOCK_TOKENS:
+            flat, n = train_documents(flat, block, rate)
+            block, size, seen = [], 0, seen + n
+        block.append(one)
+        size += len(one)
+    flat, n = train_documents(flat, block, rate)
+    return flat, seen + n
+
+
 def train(texts: DataFrame, vocabulary: dict, flat: np.ndarray, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Data-parallel rounds over texts(key, text): train apart, then average in Spark."""
+    """Data-parallel rounds over all of texts(key, text): train apart, then average in Spark."""
     spark = texts.sparkSession
-    trainers = max(1, -(-tokens // TRAINER_TOKENS))
-    sample = materialise(texts, "lm-sample")
+    trainers = max(1, min(MOST_TRAINERS, -(-tokens // TRAINER_TOKENS)))
     words = spark.sparkContext.broadcast(vocabulary)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = words.value.get
+        for b in batches:
+            ids = [squeezed(np.array([get(w, UNKNOWN) for w in lower_words(text_bytes(t))] + [END], dtype=np.int32)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+
+    encoded = materialise(texts.mapInArrow(encode, "key long, ids binary"), "lm-training")
     for k in range(rounds):
         current, rate = spark.sparkContext.broadcast(flat), RATE * (1 - k / (rounds + 1))
 
         def run(batches: Iterator[pa.RecordBatch], current=current, rate=rate) -> Iterator[pa.RecordBatch]:
-            get = words.value.get
-            docs = [np.array([get(w, UNKNOWN) for w in lower_words(text_bytes(t))] + [END], dtype=np.int32) for b in batches for t in b.column(1).to_pylist()]
-            if docs:
-                mine, seen = train_documents(current.value, docs, rate)
+            mine, seen = train_blocks(current.value, (expanded(x, np.int32) for b in batches for x in b.column(1).to_pylist()), rate)
+            if seen:
                 parts = np.array_split(mine.astype(np.float64) * seen, SEGMENTS)
                 yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([float(seen)] * SEGMENTS), pa.array([x.tobytes() for x in parts], pa.binary())], ["segment", "seen", "sums"])
 
@@ -308,7 +326,7 @@ def train(texts: DataFrame, vocabulary: dict, flat: np.ndarray, tokens: int, rou
             return pa.table([pa.array([group.column("segment")[0].as_py()], pa.int32()), pa.array([seen]), pa.array([(sums / seen).tobytes()], pa.binary())], names=["segment", "seen", "sums"])
 
         schema = "segment int, seen double, sums binary"
-        rows = sample.repartition(trainers, "key").mapInArrow(run, schema).groupBy("segment").applyInArrow(average, schema).collect()
+        rows = encoded.repartition(trainers, "key").sortWithinPartitions("key").mapInArrow(run, schema).groupBy("segment").applyInArrow(average, schema).collect()
         if rows:
             flat = np.concatenate([np.frombuffer(r.sums, dtype=np.float64) for r in sorted(rows, key=lambda r: r.segment)]).astype(np.float32)
     return flat
@@ -330,10 +348,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts = np.array([outside, n_docs, *(r.n for r in top)], dtype=np.float64)
     log_counts = np.log10(np.concatenate([[0, 0], counts[2:]]) + 1.0)
 
-    wanted = min(n, int(TRAIN_TOKENS + n * TRAIN_SHARE))
-    key = F.xxhash64(crc, F.col(id_col).cast("string"))
-    share = training.select(key.alias("key"), F.col(text_col).alias("text")).filter(F.pmod(F.col("key"), F.lit(1 << 20)) < int((1 << 20) * wanted / max(1, n)) + 1)
-    flat = train(share, vocabulary, start_parameters(counts), wanted)
+    # Texts are part of the key, so that rows without an id are spread too.
+    key = F.xxhash64(F.col(id_col).cast("string"), text_col)
+    flat = train(training.select(key.alias("key"), F.col(text_col).alias("text")), vocabulary, start_parameters(counts), n)
     shared = spark.sparkContext.broadcast((flat, vocabulary, log_counts))
 
     def encode(words: list[bytes]) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 
 import numpy as np
 import pytest
@@ -184,6 +185,26 @@ def test_language_model_cases(spark):
     assert gru_lm.score_texts(docs(spark, [])).count() == 0
 
 
+def test_language_model_trains_on_all_training_documents(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "TRAIN_TOKENS", 50, raising=False)
+    rows, given = [(i, f"word{i % 9} and again") for i in range(300)], []
+    real = gru_lm.train
+    monkeypatch.setattr(gru_lm, "train", lambda texts, *a, **k: (given.append(texts.count()), real(texts, *a, **k))[1])
+    gru_lm.score_texts(docs(spark, rows)).collect()
+    assert given == [sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)]
+
+
+def test_trainer_blocks_hold_all_tokens(monkeypatch):
+    monkeypatch.setattr(gru_lm, "BLOCK_TOKENS", 100)
+    texts, sizes = [np.full(n, 5, dtype=np.int32) for n in (30, 60, 20, 400, 1, 99)], []
+    real = gru_lm.train_documents
+    monkeypatch.setattr(gru_lm, "train_documents", lambda flat, block, rate: (sizes.append(sum(map(len, block))), real(flat, block, rate))[1])
+    flat = gru_lm.start_parameters(np.ones(gru_lm.VOCABULARY))
+    out, seen = gru_lm.train_blocks(flat, iter(texts), 0.01)
+    assert (seen, sizes) == (610, [90, 20, 400, 100]) and not np.array_equal(out, flat)
+    assert gru_lm.train_blocks(flat, iter([]), 0.01)[1] == 0
+
+
 def test_network_gradients():
     rng = np.random.Generator(np.random.PCG64(1))
     flat = (gru_lm.start_parameters(np.ones(gru_lm.VOCABULARY)) + rng.standard_normal(sum(int(np.prod(s)) for s in gru_lm._shapes().values())) * 0.1).astype(np.float64)
