@@ -475,10 +475,20 @@ def relation_edges(spark, sf):
 @query("llm_extract_stub", "SELECT conv_id, turn, 0 AS item_no, text AS text, length(text) % 10 AS page FROM conversations WHERE role = 'user' AND NOT contains(text, '\"') AND NOT contains(text, chr(92)) AND NOT contains(text, chr(10)) AND trim(text) <> ''")
 def llm_extract_stub(spark, sf):
     rows = v.t(spark, sf, "conversations").filter("role = 'user'").filter(~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("\\")) & ~F.contains("text", F.lit("\n")))
+    return _extracted(rows)
+
+
+def _extracted(rows: DataFrame) -> DataFrame:
     answered = ex.complete(rows, F.col("text"), _stub_model)
     return ex.records(answered, F.col("answer"), ["conv_id", "turn"]).select("conv_id", "turn", "item_no", "text", "page")
 
 
+@query("llm_extract_stub_all", r"SELECT conv_id, turn, 0 AS item_no, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, length(text) % 10 AS page FROM conversations WHERE role = 'user' AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''")
+def llm_extract_stub_all(spark, sf):
+    """All user turns, also those with quotes, backslashes and line breaks."""
+    return _extracted(v.t(spark, sf, "conversations").filter("role = 'user'"))
+
+
 def _stub_model():
     import json
 

@@ -220,3 +220,11 @@ def test_jobs_have_one_winner(spark):
     jobs = spark.createDataFrame([], "tenant_id long, document_id long, index_version long, state string, owner_id string, expires_at timestamp")
     out = lc.claim_jobs(claims, jobs).collect()
     assert len(out) == 1 and out[0].owner_id == "a" and out[0].claimed
+
+
+def test_extraction_keeps_quotes_backslashes_and_line_breaks(spark, tmp_path):
+    texts = ['say "x"', "a\\b", "one\ntwo", '\\"\n```json\t[{', "\u00e9 \U0001f600", " plain ", " \n ", ""]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)] + [(1, 99, "assistant", "no")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: (r.item_no, r.text, r.page) for r in QUERIES["llm_extract_stub_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (0, t.strip(), len(t) % 10) for i, t in enumerate(texts) if t.strip()}
