@@ -246,7 +246,7 @@ def chunk_overlap(spark, sf):
 @query("table_row_pack")
 def table_row_pack(spark, sf):
     """Documents as tables of (line, words) rows; compared with a plain fold in the tests."""
-    rows = F.transform(F.split("text", "\n"), lambda x: F.slice(F.split(x, " "), 1, 6))
+    rows = F.transform(F.split("text", "\n"), lambda x: F.split(x, " "))
     return v.t(spark, sf, "documents").select("doc_id", F.posexplode(ck.table_chunks(rows, 400)).alias("part", "content")).select("doc_id", "part", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_hash"))
 
 

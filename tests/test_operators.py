@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
 import zipfile
 
 import pytest
@@ -228,3 +230,54 @@ def test_extraction_keeps_quotes_backslashes_and_line_breaks(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.turn: (r.item_no, r.text, r.page) for r in QUERIES["llm_extract_stub_all"](spark, str(tmp_path)).collect()}
     assert got == {i: (0, t.strip(), len(t) % 10) for i, t in enumerate(texts) if t.strip()}
+
+
+def plain_strip(text):
+    return text.strip(" \t\n\r\f\v")
+
+
+def plain_overlap(pieces, overlap):
+    return [p if i == 0 else pieces[i - 1][-overlap:] + p for i, p in enumerate(pieces)]
+
+
+def plain_split(text, limit=1200, overlap=150):
+    whole = plain_strip(text)
+    if len(whole) <= limit:
+        return [whole] if whole else []
+    out, run = [], []
+    for p in filter(None, map(plain_strip, whole.split("\n"))):
+        if len(p) <= limit:
+            run.append(p)
+            continue
+        out += plain_pack(run, limit, "\n")
+        run = []
+        packed = plain_pack([x for x in re.split(r"(?<=[.!?;。！？；])", p) if plain_strip(x)], limit, "")
+        cut = [piece for x in packed for piece in ([x] if len(x) <= limit else [x[i : i + limit] for i in range(0, len(x), limit - overlap)])]
+        out += plain_overlap(cut, overlap)
+    return plain_overlap(out + plain_pack(run, limit, "\n"), overlap)
+
+
+def plain_table(rows, limit=400):
+    line = lambda r: "| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in r) + " |"
+    table = lambda rs: "\n".join([line(rs[0]), "|" + " --- |" * len(rs[0]), *map(line, rs[1:])])
+    if len(table(rows)) <= limit:
+        return [table(rows)]
+    size = lambda r: len(" ".join(r))
+    groups, cur, n = [], [], size(rows[0])
+    for r in rows[1:]:
+        if cur and n + size(r) > limit:
+            groups.append(cur)
+            cur, n = [], size(rows[0])
+        cur = [*cur, r]
+        n += size(r)
+    return [table([rows[0], *g]) for g in ([*groups, cur] if cur else groups)]
+
+
+def test_chunk_queries_equal_plain_folds(spark, sf, tmp_path):
+    made = ["", " \n ", "a|b c\n" + "word " * 200 + "\nd e", "head one\n" + "\n".join("cell " * (i % 9 + 1) for i in range(60)), "x" * 4000 + "\nshort", "First. " * 400 + "\n\n" + "tail; " * 10, "short\n" * 500]
+    texts = {i: t for i, t in enumerate(made)} | {r.doc_id + 100: r.text for r in v.t(spark, sf, "documents").collect()}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    digest = lambda p: (len(p), hashlib.sha256(p.encode()).hexdigest())
+    for name, at, plain in (("table_row_pack", "part", lambda t: plain_table([x.split(" ") for x in t.split("\n")])), ("chunk_greedy_pack", "chunk_index", plain_split)):
+        got = {(r.doc_id, r[at]): (r.n_chars, r.content_hash) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {(k, i): digest(p) for k, t in texts.items() for i, p in enumerate(plain(t))}
