@@ -156,6 +156,13 @@ def hash_embedding(spark, sf):
     return v.t(spark, sf, "documents").select("doc_id", e.alias("e")).select("doc_id", F.round(F.get("e", F.lit(0)), 9).alias("x0"), F.round(F.get("e", F.lit(15)), 9).alias("x15"))
 
 
+@query("hash_embedding_whole", "WITH r AS (SELECT doc_id, [(('0x' || substr(md5(text || ':' || i), 1, 2))::INT - 128) / 128.0::DOUBLE for i in range(16)] AS e FROM documents) SELECT doc_id, " + ", ".join(f"round(e[{i + 1}] / sqrt(list_inner_product(e, e)), 9) AS x{i}" for i in range(16)) + " FROM r")
+def hash_embedding_whole(spark, sf):
+    """All dimensions, over the whole text."""
+    rows = v.t(spark, sf, "documents").select("doc_id", s.hash_embedding(F.col("text"), 16).alias("e"))
+    return rows.select("doc_id", *(F.round(F.get("e", F.lit(i)), 9).alias(f"x{i}") for i in range(16)))
+
+
 UNITS, SUFFIXES = ["th", "st", "er", "chars", "%"], ["tion", "ment", "keit"]
 DATES = [(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "<date>"), (r"[0-9]{4}-[0-9]{2}", "<month>"), (r"[0-9]{4}/", "<year>/")]
 

@@ -281,3 +281,13 @@ def test_chunk_queries_equal_plain_folds(spark, sf, tmp_path):
     for name, at, plain in (("table_row_pack", "part", lambda t: plain_table([x.split(" ") for x in t.split("\n")])), ("chunk_greedy_pack", "chunk_index", plain_split)):
         got = {(r.doc_id, r[at]): (r.n_chars, r.content_hash) for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {(k, i): digest(p) for k, t in texts.items() for i, p in enumerate(plain(t))}
+
+
+def test_embeddings_read_the_whole_text(spark, tmp_path):
+    texts = ["same " * 30 + end for end in ("one", "two")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r[1:] for r in QUERIES["hash_embedding_whole"](spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        raw = [(hashlib.md5(f"{t}:{i}".encode()).digest()[0] - 128) / 128 for i in range(16)]
+        assert got[k] == pytest.approx([x / sum(y * y for y in raw) ** 0.5 for x in raw], abs=2e-9)
+    assert got[0] != got[1]
