@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 HISTORY = 12
 CONTENT_CHARS, PREVIEW_CHARS, SOURCE_CHARS, SNIPPET_CHARS = 3000, 600, 200, 500
@@ -57,6 +62,39 @@ def trace_ids(hits: DataFrame, group: Sequence[str], *ids: str) -> DataFrame:
     return hits.groupBy(*group).agg(*(F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in ids))
 
 
+def trace_rows(hits: DataFrame, group: Sequence[str], *ids: str) -> DataFrame:
+    """The same ids as rows (group, kind, id), each once: for groups of any size."""
+    parts = [hits.filter(F.col(c).isNotNull()).select(*group, F.lit(c).alias("kind"), F.col(c).alias("id")) for c in ids]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def trace_digests(hits: DataFrame, group: Sequence[str], *ids: str) -> DataFrame:
+    """(group, kind, n, digest) of the distinct ids: SHA-256 of the sorted ids with commas between, built as rows come."""
+    rows = trace_rows(hits, group, *ids)
+    width = len(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, digest = None, 0, None
+
+        def line():
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, n, digest.hexdigest()), strict=True))], schema=schema)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[: width + 1] != key:
+                    if key is not None:
+                        yield line()
+                    key, n, digest = row[: width + 1], 0, hashlib.sha256()
+                digest.update((("," if n else "") + str(row[-1])).encode())
+                n += 1
+        if key is not None:
+            yield line()
+
+    made = StructType([*rows.schema.fields[: width + 1], StructField("n", LongType()), StructField("digest", StringType())])
+    schema = to_arrow_schema(made)
+    return rows.repartition(*group, "kind").sortWithinPartitions(*group, "kind", "id").mapInArrow(run, made)
+
+
 def source_list(hits: DataFrame, order: Sequence[Column | str], chars: int = SOURCE_CHARS) -> DataFrame:
     """The cut result as numbered sources with score and preview."""
     rank = F.row_number().over(Window.orderBy(*order))

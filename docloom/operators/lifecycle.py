@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,27 +87,45 @@ STATE_SCHEMA = "document_id long, tenant_id long, lifecycle_status string, curre
 def apply_in_order(requests: DataFrame, guard: DataFrame | None = None) -> DataFrame:
     """The guard after all requests, in request order per document (a decision depends on the one before).
 
-    A document's requests reach its task as one sorted array, a few numbers each.
+    Rows of a document are sorted within its partition and folded as they come; none is held as an array.
     """
     cols = ("request_id", "tenant_id", "index_version", "input_hash", "op")
-    per = requests.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rows"))
-    g = (guard if guard is not None else requests.limit(0).select("document_id", "tenant_id", F.lit("").alias("lifecycle_status"), F.col("index_version").alias("current_index_version"), F.col("input_hash").alias("index_input_hash"))).select(
-        F.col("document_id").alias("g_document"), F.struct("tenant_id", "lifecycle_status", "current_index_version", "index_input_hash").alias("state")
-    )
-    joined = per.join(g, F.col("document_id") == F.col("g_document"), "full_outer").select(F.coalesce("document_id", "g_document").alias("document_id"), "rows", "state")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, rows, state in zip(frame["document_id"], frame["rows"], frame["state"], strict=True):
-                rows = [] if rows is None else list(rows)
-                start = None if state is None else (state["tenant_id"], state["lifecycle_status"], state["current_index_version"], state["index_input_hash"])
-                end, verdicts = fold_requests(start, ((r["tenant_id"], r["index_version"], r["input_hash"], r["op"]) for r in rows))
-                out.append((doc, *end, verdicts.count(APPLY), len(verdicts)) if end else (doc, None, None, None, None, 0, len(verdicts)))
-            made = pd.DataFrame(out, columns=["document_id", "tenant_id", "lifecycle_status", "current_index_version", "index_input_hash", "n_applied", "n_requests"])
-            yield made.astype({"tenant_id": "Int64", "current_index_version": "Int64"})
-
-    return joined.mapInPandas(run, STATE_SCHEMA)
+    asked = requests.select("document_id", F.lit(1).alias("kind"), *cols)
+    rows = asked
+    if guard is not None:
+        g = guard.select("document_id", F.lit(0).alias("kind"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "tenant_id", F.col("current_index_version").alias("index_version"), F.col("index_input_hash").alias("input_hash"), F.col("lifecycle_status").alias("op"))
+        rows = g.unionByName(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = None
+        applied = total = 0
+        for batch in batches:
+            done: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("document_id", "kind", "tenant_id", "index_version", "input_hash", "op")]
+            # A document without an id has no guard: nulls do not meet.
+            for new, of in groupby(zip(*columns, strict=True), lambda r: (r[0], r[1] if r[0] is None else 0)):
+                if new != key:
+                    if key is not None:
+                        done.append((key[0], *(state or (None,) * 4), applied, total))
+                    key, state, applied, total = new, None, 0, 0
+                for kind, part in groupby(of, lambda r: r[1]):
+                    if kind == 0:
+                        state = next((r[2], r[5], r[3], r[4]) for r in part)
+                        continue
+                    state, verdicts = fold_requests(state, (r[2:] for r in part))
+                    applied, total = applied + verdicts.count(APPLY), total + len(verdicts)
+            if done:
+                yield _state_batch(done)
+        if key is not None:
+            yield _state_batch([(key[0], *(state or (None,) * 4), applied, total)])
+
+    return rows.repartition("document_id").sortWithinPartitions("document_id", "kind", *cols).mapInArrow(run, STATE_SCHEMA)
+
+
+def _state_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    names = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def tombstone(guard: DataFrame, deletes: DataFrame) -> DataFrame:

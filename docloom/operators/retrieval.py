@@ -135,6 +135,11 @@ def dedupe_patterns(found: DataFrame, scope: DataFrame, sources: DataFrame, orde
     return out.withColumn("duplicate_count", F.coalesce("duplicate_count", F.lit(1))).withColumn("sources", F.coalesce("all_sources", "sources")).drop("all_sources")
 
 
+def fingerprint_sources(scope: DataFrame, sources: DataFrame) -> DataFrame:
+    """(fingerprint, document_id), each once: the merged sources as rows, for copy groups of any size."""
+    return scope.filter("fingerprint IS NOT NULL").select("fingerprint", F.col("id").alias("pattern_id")).join(sources, "pattern_id").select("fingerprint", "document_id").distinct()
+
+
 def expand_sections(sections: DataFrame, hits: DataFrame, allowed: DataFrame) -> DataFrame:
     """Hits, their parents and their siblings within allowed documents.
 

@@ -300,6 +300,11 @@ def pattern_dedupe_sources(spark, sf):
     return out.select("id", "duplicate_count", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
 
 
+@query("pattern_source_rows", v.with_views("d_pattern", "d_pattern_source", body="SELECT DISTINCT p.fingerprint, x.document_id FROM d_pattern p JOIN d_pattern_source x ON x.pattern_id = p.id WHERE p.tenant_id = 1"))
+def pattern_source_rows(spark, sf):
+    return rt.fingerprint_sources(TENANT.scope(v.d_pattern(spark, sf)).drop("embedding"), v.d_pattern_source(spark, sf))
+
+
 _EXPAND = f"""{_HEADS_SQL}, allowed AS (SELECT id FROM d_document WHERE tenant_id = 1), rows AS (SELECT * FROM tree WHERE document_id IN (SELECT id FROM allowed)),
  hits AS (SELECT document_id, section_id FROM rows WHERE section_id % 5 = 1), up AS (SELECT DISTINCT r.document_id, r.parent_id FROM rows r JOIN hits USING (document_id, section_id) WHERE coalesce(r.parent_id, 0) <> 0)
 SELECT document_id, section_id AS id, coalesce(parent_id, -1) AS parent_id FROM rows WHERE (document_id, section_id) IN (SELECT document_id, section_id FROM hits) OR (document_id, section_id) IN (SELECT document_id, parent_id FROM up) OR (document_id, parent_id) IN (SELECT document_id, parent_id FROM up)"""
@@ -446,8 +451,12 @@ def evidence_pack_text(spark, sf):
 
 @query("rag_trace", v.with_views("d_chunk", body="SELECT coalesce(tenant_id, -1) AS tenant_id, knowledge_base_id, sha256(array_to_string(list_sort(list_distinct(list(document_id))), ',')) AS documents, count(DISTINCT id) AS n_chunks FROM d_chunk GROUP BY 1, 2"))
 def rag_trace(spark, sf):
-    ids = ev.trace_ids(v.d_chunk(spark, sf, embeddings=False), ["tenant_id", "knowledge_base_id"], "document_id", "id")
-    return ids.select(F.coalesce("tenant_id", F.lit(-1)).alias("tenant_id"), "knowledge_base_id", F.sha2(F.array_join(F.transform("document_ids", lambda x: x.cast("string")), ","), 256).alias("documents"), F.size("ids").cast("long").alias("n_chunks"))
+    group = ["tenant_id", "knowledge_base_id"]
+    chunks = v.d_chunk(spark, sf, embeddings=False)
+    counts = chunks.groupBy(*group).agg(F.countDistinct("id").alias("n_chunks"))
+    documents = ev.trace_digests(chunks, group, "document_id").select(F.col("tenant_id").alias("_t"), F.col("knowledge_base_id").alias("_k"), F.col("digest").alias("documents"))
+    rows = counts.join(documents, F.col("tenant_id").eqNullSafe(F.col("_t")) & F.col("knowledge_base_id").eqNullSafe(F.col("_k")))
+    return rows.select(F.coalesce("tenant_id", F.lit(-1)).alias("tenant_id"), "knowledge_base_id", "documents", "n_chunks")
 
 
 @query("generate_sources", v.with_views("d_chunk", "d_guard", body=f"{_VISIBLE}, top AS (SELECT *, {_SIM} AS sim FROM visible WHERE embedding IS NOT NULL ORDER BY sim DESC, id LIMIT 10) SELECT row_number() OVER (ORDER BY sim DESC, id) AS rank, id, document_id, round(sim, 4) AS score, left(content, 200) AS preview FROM top"))

@@ -291,3 +291,23 @@ def test_embeddings_read_the_whole_text(spark, tmp_path):
         raw = [(hashlib.md5(f"{t}:{i}".encode()).digest()[0] - 128) / 128 for i in range(16)]
         assert got[k] == pytest.approx([x / sum(y * y for y in raw) ** 0.5 for x in raw], abs=2e-9)
     assert got[0] != got[1]
+
+
+def test_groups_are_not_held_as_arrays(spark, sf):
+    for name in ("guard_merge", "rag_trace", "pattern_source_rows"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "collect_set" not in plan
+
+
+def test_merge_starts_from_the_guard(spark):
+    state = "document_id long, tenant_id long, lifecycle_status string, current_index_version long, index_input_hash string"
+    guard = {1: (1, "ACTIVE", 3, "h"), 2: (2, "DELETED", 1, "x"), 4: (1, "ACTIVE", None, None)}
+    asked = [(5, 1, 1, 4, "n", "INGEST"), (4, 1, 1, 2, "o", "INGEST"), (6, 2, 2, 9, "z", "INGEST"), (7, 3, 1, 1, "a", "INGEST"), (8, None, 1, 1, "a", "INGEST")]
+    asked += [(100 + i, 7, 1, i // 3, "h", "INGEST") for i in range(25_000)]
+    requests = spark.createDataFrame(asked, "request_id long, document_id long, tenant_id long, index_version long, input_hash string, op string")
+    got = {r.document_id: tuple(r)[1:] for r in lc.apply_in_order(requests, spark.createDataFrame([(k, *x) for k, x in guard.items()], state)).collect()}
+    want = {}
+    for d in {r[1] for r in asked} | set(guard):
+        end, out = lc.fold_requests(guard.get(d), [r[2:] for r in sorted(asked, key=lambda r: r[0]) if r[1] == d])
+        want[d] = (*end, out.count(lc.APPLY), len(out))
+    assert got == want
