@@ -349,6 +349,13 @@ def trusted_backfill(spark, sf):
     return gv.backfill(chunks, "document_id", v.d_document(spark, sf).select("id", "tenant_id"), "tenant_id").filter("id % 97 = 0 OR tenant_id IS NULL").select("id", F.coalesce("tenant_id", F.lit(-1)).alias("tenant_id"))
 
 
+@query("trusted_backfill_all", v.with_views("d_chunk", "d_document", body="SELECT c.id, coalesce(c.tenant_id, d.tenant_id, -1) AS tenant_id FROM d_chunk c LEFT JOIN d_document d ON d.id = c.document_id"))
+def trusted_backfill_all(spark, sf):
+    """All chunks, also those whose tenant was given and stays."""
+    chunks = v.d_chunk(spark, sf, embeddings=False)
+    return gv.backfill(chunks, "document_id", v.d_document(spark, sf).select("id", "tenant_id"), "tenant_id").select("id", F.coalesce("tenant_id", F.lit(-1)).alias("tenant_id"))
+
+
 @query("tender_only_division", v.with_views("d_pattern_source", "d_document", body=f"SELECT pattern_id, CASE WHEN bool_and({_TYPE_SQL} = 'tender') THEN 'tender_only' ELSE 'mixed' END AS kind FROM d_pattern_source s JOIN d_document d ON d.id = s.document_id GROUP BY 1 HAVING bool_or({_TYPE_SQL} = 'tender')"))
 def tender_only_division(spark, sf):
     return gv.tender_only_patterns(v.d_pattern_source(spark, sf), v.d_document(spark, sf).select("id", "document_type"))

@@ -311,3 +311,10 @@ def test_merge_starts_from_the_guard(spark):
         end, out = lc.fold_requests(guard.get(d), [r[2:] for r in sorted(asked, key=lambda r: r[0]) if r[1] == d])
         want[d] = (*end, out.count(lc.APPLY), len(out))
     assert got == want
+
+
+def test_backfill_returns_and_keeps_given_tenants(spark, sf):
+    chunks = v.d_chunk(spark, sf, embeddings=False).collect()
+    docs = {r.id: r.tenant_id for r in v.d_document(spark, sf).collect()}
+    got = [(r.id, r.tenant_id) for r in QUERIES["trusted_backfill_all"](spark, sf).collect()]
+    assert sorted(got) == sorted((c.id, docs.get(c.document_id, -1) if c.tenant_id is None else c.tenant_id) for c in chunks)
