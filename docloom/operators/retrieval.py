@@ -39,6 +39,14 @@ def vector_search(rows: DataFrame, query: Column, k: int = TOP_K) -> DataFrame:
     return scored.filter("similarity IS NOT NULL").orderBy(F.desc("similarity"), "id").limit(k)
 
 
+def vector_search_many(rows: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """``vector_search`` for every row of queries(query_id, query): each query's k nearest, with query_id."""
+    pairs = rows.filter("embedding IS NOT NULL").crossJoin(F.broadcast(queries))
+    scored = pairs.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query")), 6)).filter("similarity IS NOT NULL").drop("query")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return scored.withColumn("_n", best).filter(F.col("_n") <= k).drop("_n")
+
+
 def keyword_search(rows: DataFrame, words: str, k: int = TOP_K, wildcards: bool = True) -> DataFrame:
     """Rows whose content holds the words, letter case ignored, by id.  % and _ are live unless turned off."""
     text = words if wildcards else words.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

@@ -60,6 +60,16 @@ def vector_topk(spark, sf):
     return rt.vector_search(_visible(spark, sf), _query_vector(spark, sf)).select("id", "document_id", "similarity")
 
 
+_SIM_MANY = "round(list_inner_product(embedding::DOUBLE[], query::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(query::DOUBLE[], query::DOUBLE[]))), 6)"
+
+
+@query("vector_topk_all", v.with_views("d_chunk", "d_guard", body=f"{_VISIBLE}, asked AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0), scored AS (SELECT query_id, id, document_id, {_SIM_MANY} AS similarity FROM visible, asked WHERE embedding IS NOT NULL) SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10"))
+def vector_topk_all(spark, sf):
+    """Every stored vector whose id 50 divides as a query."""
+    asked = v.t(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return rt.vector_search_many(_visible(spark, sf), asked).select("query_id", "id", "document_id", "similarity")
+
+
 @query("keyword_search", v.with_views("d_chunk", "d_guard", body=f"{_VISIBLE} SELECT id, document_id, content, 1.0::DOUBLE AS score FROM visible WHERE content ILIKE '%{KEYWORD}%' ORDER BY id LIMIT 10"))
 def keyword_search(spark, sf):
     rows = rt.visible_chunks(v.d_chunk(spark, sf, embeddings=False), v.d_guard(spark, sf), TENANT)

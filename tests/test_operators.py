@@ -318,3 +318,19 @@ def test_backfill_returns_and_keeps_given_tenants(spark, sf):
     docs = {r.id: r.tenant_id for r in v.d_document(spark, sf).collect()}
     got = [(r.id, r.tenant_id) for r in QUERIES["trusted_backfill_all"](spark, sf).collect()]
     assert sorted(got) == sorted((c.id, docs.get(c.document_id, -1) if c.tenant_id is None else c.tenant_id) for c in chunks)
+
+
+def test_searches_take_all_stated_queries(spark, sf):
+    got = {}
+    for r in QUERIES["vector_topk_all"](spark, sf).collect():
+        got.setdefault(r.query_id, []).append((-r.similarity, r.id))
+    stated = {r.vec_id for r in v.t(spark, sf, "embeddings").filter("vec_id % 50 = 0").collect()}
+    assert set(got) == stated and all(len(x) == 10 for x in got.values())
+    assert sorted(got[0]) == [(-r.similarity, r.id) for r in QUERIES["vector_topk"](spark, sf).collect()]
+
+
+def test_many_searches_break_ties_and_drop_zero_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 3.0]), (100, [0.0, 0.0])], "query_id long, query array<double>")
+    out = sorted((r.query_id, -r.similarity, r.id) for r in rt.vector_search_many(rows, asked, 2).collect())
+    assert out == [(0, -1.0, 1), (0, -1.0, 2), (50, -1.0, 3), (50, 0.0, 1)]
