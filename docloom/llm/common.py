@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_path(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_WORK_DIR
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -31,6 +38,44 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` made and nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if re.search(r"-[0-9a-f]{32}$", folder):
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts with about ``most`` bytes of text each (a longer text is a part of its own)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes + 1) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(x, y - x)
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, weight: str, n_rows: int, share: int = 4096) -> DataFrame:
+    """``rows`` left-joined with ``keyed``, which has one row per key and under ``weight`` the number of rows of it.
+
+    No task gets all rows of a key: keys with more than 1/``share`` of all rows, so at most ``share`` of them, are
+    broadcast; the others are joined by a shuffle, and null keys, which match nothing, by none.
+    """
+    other = keyed.withColumnRenamed(key, fresh([*rows.columns, *keyed.columns], "_key"))
+    name = next(c for c in other.columns if c not in keyed.columns)
+    heavy, light = (F.broadcast(other.filter(F.col(weight) > n_rows / share)), other.filter(F.col(weight) <= n_rows / share))
+    full = rows.filter(F.col(key).isNotNull())
+    hot = full.join(heavy, F.col(key) == F.col(name)).drop(name)
+    rest = full.join(heavy.select(name), F.col(key) == F.col(name), "left_anti").join(light, F.col(key) == F.col(name), "left").drop(name)
+    none = rows.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema.fields if f.name != key))
+    return hot.unionByName(rest).unionByName(none)
+
+
 def text_bytes(value) -> bytes:
     """UTF-8 of a text; null is empty."""
     return b"" if value is None else value.encode("utf-8", "surrogatepass")

@@ -14,12 +14,17 @@ Turns order calls whenever all calls point back to earlier turns; then level is
 in which a call uses a later one are peeled level by level.  Calls on a cycle have no level and the
 problem 'cycle'.
 
-Defined results: of several calls or results with one identifier the first by (conv_id, turn, text) is
-linked, the others carry the problem 'repeated id' or 'repeated result'; results without a call are
-'orphan'; a null identifier links with nothing; null arguments count as ``{}``; text that is not a JSON
-object is 'not an object' and serialised as a string; unknown tools are 'unknown tool'; parameters that
-the schema lacks are allowed; a null text is the empty string; an empty table gives no rows; other
-columns are ignored.  Schemas are broadcast when at most ``BROADCAST_TOOLS`` tools, else joined.
+Identical rows are counted as one before anything is joined and written out again at the end, so copies of a
+conversation never meet each other; all joins have at most one row per identifier on one side, and identifiers
+with a large share of the rows are joined by broadcast.
+
+Defined results: of several calls or results with one identifier the first by (conv_id, turn, fingerprint of the
+row) is linked, the others, copies of the first included, carry the problem 'repeated id' or 'repeated result';
+results without a call are 'orphan'; a null identifier links with nothing; null arguments count as ``{}``; text
+that is not a JSON object, or repeats a key, is 'not an object' and serialised as a string; unknown tools are
+'unknown tool'; parameters that the schema lacks are allowed; a null text is the empty string; a call uses what
+any row with its identifier in its conversation uses; an empty table gives no rows; other columns are ignored.
+Schemas are broadcast when at most ``BROADCAST_TOOLS`` tools, else joined.
 """
 
 from __future__ import annotations
@@ -27,9 +32,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import join_spread, materialise, table
 
 BROADCAST_TOOLS = 10_000
+#: Copies of one row that one task writes out.
+COPY_BLOCK = 1000
 COLUMNS = ["conv_id", "turn", "kind", "role", "call_id", "name", "arguments", "uses", "text"]
 
 
@@ -62,17 +69,20 @@ def _argument_problems(params, values) -> F.Column:
     return F.filter(F.transform(params, problem), lambda x: x.isNotNull())
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, cyclic) for the conversations in which a call uses a later one."""
-    edges = calls.filter(F.size("uses") > 0).select("conv_id", "call_id", "turn", F.explode("uses").alias("dep"))
-    at = calls.select(F.col("conv_id").alias("dep_conv"), F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"))
-    edges = edges.join(at, (edges.dep == at.dep) & edges.conv_id.eqNullSafe(at.dep_conv)).select("conv_id", "call_id", "turn", at.dep, "dep_turn")
-    forward = materialise(edges.filter("dep_turn >= turn").select("conv_id").distinct(), "chat-forward")
-    if forward.isEmpty():
-        return calls.limit(0).select("conv_id", "call_id", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
-    on = ["conv_id"]
-    open_calls = materialise(calls.join(forward, on, "left_semi").select("conv_id", "call_id").distinct(), "chat-open")
-    open_edges = materialise(edges.join(forward, on, "left_semi").select("conv_id", "call_id", "dep").distinct(), "chat-edges")
+def _levels(calls: DataFrame) -> DataFrame | None:
+    """(conv_id, call_id, level, cyclic) for the conversations in which a call uses a later one; None if there are none."""
+    uses = calls.filter(F.size("uses") > 0).select("conv_id", "call_id", "turn", F.explode("uses").alias("dep"))
+    # One row for each side of the join: the first turn that uses an identifier, the first turn that has it.
+    first_use = uses.groupBy("conv_id", "dep").agg(F.min("turn").alias("turn"))
+    first_turn = calls.groupBy(F.col("conv_id").alias("dep_conv"), F.col("call_id").alias("dep_call")).agg(F.min("turn").alias("dep_turn"))
+    met = materialise(first_use.join(first_turn, (F.col("dep") == F.col("dep_call")) & F.col("conv_id").eqNullSafe(F.col("dep_conv"))).filter("dep_turn >= turn").select("conv_id").distinct(), "chat-forward")
+    if met.isEmpty():
+        return None
+    forward, at = met.select(F.col("conv_id").alias("of_conv")), F.col("conv_id").eqNullSafe(F.col("of_conv"))
+    ids = materialise(calls.join(forward, at, "left_semi").select(_conv_key().alias("conv_id"), "call_id").distinct(), "chat-open")
+    edges = uses.join(forward, at, "left_semi").select(_conv_key().alias("conv_id"), "call_id", "dep").distinct()
+    edges = edges.join(ids.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi")
+    open_calls, open_edges = ids, materialise(edges, "chat-edges")
     done, level = None, 0
     while True:
         blocked = open_edges.select("conv_id", "call_id").distinct()
@@ -89,28 +99,54 @@ def _levels(calls: DataFrame) -> DataFrame:
     return done.withColumn("cyclic", F.lit(False)).unionByName(cyclic)
 
 
+def _conv_key() -> F.Column:
+    """conv_id as text that is never null, for joins by several columns."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    """Each row as often as ``times`` says; those with very many copies are dealt out in blocks first."""
+    few = rows.filter(f"times BETWEEN 1 AND {COPY_BLOCK}").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    many = rows.filter(f"times > {COPY_BLOCK}").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / COPY_BLOCK))))
+    size = F.least(F.lit(COPY_BLOCK), F.col("times") - F.col("block") * COPY_BLOCK)
+    many = many.repartition(F.col("print"), F.col("block")).withColumn("copy", F.explode(F.sequence(F.lit(1), size)))
+    return few.drop("copy", "times").unionByName(many.drop("copy", "times", "block"))
+
+
 def format_tool_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, level, turn, kind, call_id, linked, problems, message (canonical JSON)."""
     m = messages.select(*COLUMNS).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("uses", F.coalesce("uses", F.array().cast("array<string>")))
-    linkable = m.filter(F.col("kind").isin("call", "result") & F.col("call_id").isNotNull())
     is_call = F.col("kind") == "call"
-    ids = linkable.groupBy(F.col("call_id").alias("link_id")).agg(
-        F.min(F.when(is_call, F.struct("conv_id", "turn", "text"))).alias("first_call"),
-        F.min(F.when(~is_call, F.struct("conv_id", "turn", "text"))).alias("first_result"),
-    )
+    # Identical rows are one row with a count.
+    rows = m.filter(F.col("kind").isin("call", "result")).groupBy(*COLUMNS).agg(F.count("*").alias("copies"))
+    me = F.struct("conv_id", "turn", "print")
+    rows = materialise(rows.withColumn("print", F.md5(F.to_json(F.struct(*COLUMNS)))), "chat-rows")
+    ids = rows.filter(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.when(is_call, me)).alias("first_call"), F.min(F.when(~is_call, me)).alias("first_result"), F.count("*").alias("id_rows"))
+    rows = materialise(join_spread(rows, ids, "call_id", "id_rows", rows.count()), "chat-linked")
     tools = schemas.groupBy(F.col("name").alias("tool")).agg(F.array_sort(F.collect_list(F.struct("param", "type", "required"))).alias("params"))
     small = tools.limit(BROADCAST_TOOLS + 1).count() <= BROADCAST_TOOLS
     tools = F.broadcast(tools) if small else tools
-    levels = _levels(m.filter(is_call & F.col("call_id").isNotNull()).select("conv_id", "call_id", "turn", "uses"))
-
-    me = F.struct("conv_id", "turn", "text")
-    calls = m.filter(is_call).join(ids.hint("shuffle_hash"), F.col("call_id") == F.col("link_id"), "left").join(tools, F.col("name") == F.col("tool"), "left")
-    lv = levels.select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_call"), "level", "cyclic")
-    calls = calls.join(lv, (F.col("call_id") == F.col("l_call")) & F.col("conv_id").eqNullSafe(F.col("l_conv")), "left")
+    named = F.col("call_id").isNotNull()
+    levels = _levels(rows.filter(is_call & named).select("conv_id", "call_id", "turn", "uses"))
+
+    # At most one call and one result of each identifier are first.
+    first_call, first_result = me.eqNullSafe(F.col("first_call")), me.eqNullSafe(F.col("first_result"))
+    answers = rows.filter(~is_call & named & first_result & F.col("first_call").isNotNull()).select(F.col("call_id").alias("link_id"), F.col("text").alias("answer"))
+    calls = rows.filter(is_call).withColumn("first", named & first_call)
+    firsts = calls.filter("first").join(answers, F.col("call_id") == F.col("link_id"), "left").drop("link_id")
+    # Of the copies of a first call one is linked.
+    others = _copied(calls.withColumn("times", F.when(F.col("first"), F.col("copies") - 1).otherwise(F.col("copies"))))
+    others = others.withColumn("first", F.lit(False)).withColumn("answer", F.lit(None).cast("string"))
+    calls = firsts.unionByName(others).join(tools, F.col("name") == F.col("tool"), "left")
+    if levels is None:
+        calls = calls.withColumn("level", F.lit(0)).withColumn("cyclic", F.lit(False))
+    else:
+        lv = levels.select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_call"), "level", "cyclic")
+        calls = calls.join(lv, (F.col("call_id") == F.col("l_call")) & (_conv_key() == F.col("l_conv")), "left")
     parsed = F.try_parse_json(F.coalesce("arguments", F.lit("{}")))
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     values = F.from_json(F.coalesce("arguments", F.lit("{}")), "map<string, variant>")
-    first = F.col("call_id").isNotNull() & me.eqNullSafe(F.col("first_call"))
+    first = F.col("first")
     linked = first & F.col("first_result").isNotNull()
     late = linked & F.col("first_result.conv_id").eqNullSafe(F.col("conv_id")) & (F.col("first_result.turn") <= F.col("turn"))
     problems = F.concat(
@@ -126,15 +162,16 @@ def format_tool_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         F.lit('{"arguments":'), arguments,
         F.lit(',"call_id":'), _json_string(F.col("call_id")),
         F.lit(',"name":'), _json_string(F.col("name")),
-        F.lit(',"result":'), F.when(linked, _json_string(F.col("first_result.text"))).otherwise(F.lit("null")),
+        F.lit(',"result":'), F.when(linked, _json_string(F.col("answer"))).otherwise(F.lit("null")),
         F.lit(',"role":'), _json_string(F.col("role")), F.lit("}"),
     )
     level = F.when(F.coalesce("cyclic", F.lit(False)), F.lit(None).cast("int")).otherwise(F.coalesce("level", F.lit(0)))
     calls = calls.select("conv_id", level.alias("level"), "turn", "kind", "call_id", linked.alias("linked"), problems.alias("problems"), message.alias("message"))
 
-    results = m.filter(F.col("kind") == "result").join(ids.hint("shuffle_hash"), F.col("call_id") == F.col("link_id"), "left")
     orphan = F.col("first_call").isNull()
-    results = results.filter(orphan | ~me.eqNullSafe(F.col("first_result"))).withColumn("problems", F.array(F.when(orphan, F.lit("orphan")).otherwise(F.lit("repeated result"))))
+    times = F.when(named & ~orphan & first_result, F.col("copies") - 1).otherwise(F.col("copies"))
+    results = _copied(rows.filter(~is_call).withColumn("times", times))
+    results = results.withColumn("problems", F.array(F.when(orphan, F.lit("orphan")).otherwise(F.lit("repeated result"))))
     texts = m.filter(~F.col("kind").isin("call", "result") | F.col("kind").isNull()).withColumn("problems", F.array().cast("array<string>"))
     plain = F.concat(F.lit('{"content":'), _json_string(F.col("text")), F.lit(',"role":'), _json_string(F.col("role")), F.lit("}"))
     rest = [x.select("conv_id", F.lit(0).alias("level"), "turn", "kind", "call_id", F.lit(False).alias("linked"), "problems", plain.alias("message")) for x in (results, texts)]

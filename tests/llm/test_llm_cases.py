@@ -295,3 +295,26 @@ def test_tool_chat_cases(spark):
     assert out[2, 1].problems == ["unknown tool", "not an object", "cycle"] and json.loads(out[2, 1].message)["arguments"] == "nope"
     assert out[3, 0].problems == ["repeated id"] and out[3, 1].problems == ["missing x"]
     assert tool_chat.format_tool_chat(messages(spark, []), schemas).count() == 0
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_tool_chat_repeated_rows(spark, monkeypatch, block):
+    """N copies of a conversation: every row is there but for the one linked result."""
+    schemas = spark.createDataFrame([("f", "a", "integer", True)], "name string, param string, type string, required boolean")
+    monkeypatch.setattr(tool_chat, "COPY_BLOCK", block)
+    long = "x" * 300_000
+    one = [(7, 0, "call", "assistant", "k0", "f", '{"a":1}', [], long), (7, 1, "result", "tool", "k0", None, None, None, long), (7, 2, "call", "assistant", "k1", "f", '{"a":1,"a":2}', ["k0"], ""), (7, 3, "text", "user", None, None, None, None, "t")]
+    for n in (1, 2, 40):
+        out = tool_chat.format_tool_chat(messages(spark, one * n).withColumn("linked", F.lit(1)).withColumn("first", F.lit(1)), schemas).collect()
+        assert len(out) == 4 * n - 1
+        linked = [r for r in out if r.linked]
+        assert len(linked) == 1 and json.loads(linked[0].message)["result"] == long
+        assert sum(r.problems == ["repeated id"] for r in out) == n - 1 and sum(r.problems == ["repeated result"] for r in out) == n - 1
+        assert sum("not an object" in r.problems for r in out) == n
+
+
+def test_tool_chat_null_conversations(spark):
+    schemas = spark.createDataFrame([], "name string, param string, type string, required boolean")
+    rows = [(None, 0, "call", "a", "c0", "f", None, ["c1"], None), (None, 1, "call", "a", "c1", "f", None, [], None), (None, None, "call", "a", None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    out = {(r.call_id, r.turn, r.kind): r for r in tool_chat.format_tool_chat(messages(spark, rows), schemas).collect()}
+    assert len(out) == 4 and out["c0", 0, "call"].level == 1 and out["c1", 1, "call"].level == 0
