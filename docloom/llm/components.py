@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             two = hooks.join(above, F.col("up") == F.col("mid")).join(higher, F.col("top") == F.col("mid2"))
             next_hooks = materialise(two.select("node", F.col("top2").alias("up"), (F.col("top2") != F.col("up")).alias("moved")), "cc-hooks")
             moved = not next_hooks.filter("moved").isEmpty()
+            release(hooks)
             hooks = next_hooks.select("node", "up")
             if not moved:
                 break
         up = hooks.select(F.col("node").alias("at"), "up")
+        known, seen = labels, open_edges
         labels = materialise(labels.join(up, labels.component == up["at"], "left").select("node", F.coalesce("up", "component").alias("component")), "cc-labels")
         left = open_edges.join(up, open_edges.a == up["at"]).select(F.col("up").alias("a"), "b")
         renamed = left.join(up, left.b == up["at"]).select("a", F.col("up").alias("b"))
         open_edges = materialise(renamed.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+        release(known, seen, hooks)
+    release(open_edges)
     return labels

@@ -32,7 +32,11 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
 }
+#: What the stream's own session takes over from the caller's.
+TAKEN = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
 FEED = "digest string, id {id}, part string, place long"
 
 
@@ -48,34 +52,25 @@ def _feed(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
 def run_stream(spark: SparkSession, feed_path: str, feed_schema: str, files_per_batch: int | None = None) -> DataFrame:
     """Drain the feed through the keyed state; (digest, keep, group_size) with one row per digest."""
     out, log = work_path(spark, "dedup-groups"), work_path(spark, "dedup-state")
-    reader = spark.readStream.schema(feed_schema)
+    # A session of its own: the state store's settings reach no other query.
+    session = spark.newSession()
+    for k, v in STATE.items() | {k: spark.conf.get(k) for k in TAKEN}.items():
+        session.conf.set(k, v)
+    reader = session.readStream.schema(feed_schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    changed = digest_state(reader.parquet(feed_path))
+    changed, written = digest_state(reader.parquet(feed_path)), []
 
     def append(batch: DataFrame, batch_id: int) -> None:
         # The folder is the batch's own: a batch that is run again after a failure replaces it.
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        written.append(batch_id)
 
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        changed.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-    schema = StructType([*changed.schema.fields, StructField("batch", IntegerType())])
-    batches = spark.read.schema(schema).option("basePath", out)
-    try:
-        seen = batches.parquet(out)
-    except Exception as e:  # the stream had no rows, so no batch was written
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    changed.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
+    if not written:
         return spark.createDataFrame([], changed.schema)
+    schema = StructType([*changed.schema.fields, StructField("batch", IntegerType())])
+    seen = spark.read.schema(schema).option("basePath", out).parquet(out)
     if files_per_batch is None:
         return seen.drop("batch")
     return seen.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("digest", "s.keep", "s.group_size")
