@@ -16,13 +16,19 @@ of the two has more allocated than differences allowed.  Neighbourhoods cost an
 segments an entry each; bands whose spare segments make up for the expected empty ones use those, and
 smaller bands use neighbourhoods.
 
-Groups of equal entries are never paired in full: all members of a group link to its least class as
-candidates, verified exactly, and verified links are contracted to components.  Only groups that still
-span several components are looked at again: members of different components are compared where that makes
-at most ``GROUP`` pairs per member, and must share as many entries as their allocation guarantees.  Entries
-with more pairs get 0.  Sets whose allocation then falls short (a frequent
-passage fills most of them) are joined with each other by prefixes of their rarest shingles instead, so
-no link is lost.
+A class whose hits are fewer than what linked sets must share is left out before anything is shuffled.
+
+Groups of equal entries are never paired in full: all members of a group have its least class as candidate;
+those that share as many entries with it as their allocation guarantees are verified exactly, and verified
+links are contracted to components.  Only groups that still span several components are looked at again:
+members of different components are compared where that makes at most ``GROUP`` pairs per member.  Entries
+with more pairs get 0.
+
+Classes that lose more than half of their spare allocation that way (a frequent passage fills most of
+them), or have too little from the start (too many empty segments), are weak.  Two weak classes are found by their shingles (``hot_part_pairs``): shingles of at most
+``GROUP`` weak classes pair them directly (prefix filter with positions); what the other, hot, shingles alone
+can link is found through the smallest class of each distinct hot part, one candidate per class; the hot
+parts themselves are joined in the same way.
 
 Before entries are shuffled, each task combines the equal entries of its batch into one and packs them
 by hash bucket; a hot entry crosses the shuffle once per batch, not once per document.  Rows are told
@@ -48,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import expanded as _expanded
-from .common import fresh, materialise, table, text_bytes
+from .common import fresh, materialise, release, slices, table, text_bytes
 from .common import squeezed as _squeezed
 from .components import connected_components
 from .wordhash import chunks, hash_words, mix, short_sequence, windows
@@ -182,7 +188,7 @@ def document_classes(docs: DataFrame) -> DataFrame:
     """(row, id, n_shingles, cls) per row of docs(row, id, text)."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             sizes, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
             for _, shingles, n in shingle_sets(_texts(batch.column(2))):
                 sizes.append(n)
@@ -193,8 +199,10 @@ def document_classes(docs: DataFrame) -> DataFrame:
 
 
 PACKED = "key long, kind int, batch long, a binary, b binary, c binary"
-MEMBERS = "entry long, cls long, band int, own int, size int, slack int"
+#: lower: 0 for entries of the class's own band, 1 for those of the band below.
+MEMBERS = "entry long, cls long, lower int, own int, size int, slack int"
 ENTRIES, CLASSES, SAME = range(3)
+SHORT = -1
 
 
 def _pack(batch: int, keys: np.ndarray, bands_: np.ndarray, sizes: np.ndarray, slacks: np.ndarray, entries: np.ndarray, owner: np.ndarray, buckets: int) -> list[tuple]:
@@ -253,9 +261,9 @@ def packed_entries(docs: DataFrame, buckets: int) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
             return pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(zip(*packed, strict=True), types, strict=True)], ["key", "kind", "batch", "a", "b", "c"])
 
-        for batch in batches:
+        parts, size, classes, first = [], 0, 0, None
+        for batch in slices(batches, 1):
             rows = batch.column(0).to_pylist()
-            parts, size, classes, first = [], 0, 0, None
             for start, shingles, n in shingle_sets(_texts(batch.column(1))):
                 keys = class_keys(shingles, n).view(np.int64)
                 fresh_set = np.zeros(len(keys), dtype=bool)
@@ -280,8 +288,8 @@ def packed_entries(docs: DataFrame, buckets: int) -> DataFrame:
                 if size > BATCH_ENTRIES:
                     yield record(first, parts)
                     parts, size, classes, first = [], 0, 0, None
-            if parts:
-                yield record(first, parts)
+        if parts:
+            yield record(first, parts)
 
     return docs.mapInArrow(emit, PACKED)
 
@@ -309,16 +317,37 @@ def _bucket_hits(group: pa.Table) -> pa.Table:
 
 
 def _batch_members(group: pa.Table) -> pa.Table:
-    """Rows of MEMBERS of one batch."""
+    """Rows of MEMBERS of one batch; classes whose allocation falls short have the entry SHORT too."""
     kinds, a, b, c = (group.column(n).to_pylist() for n in ("kind", "a", "b", "c"))
     at = kinds.index(CLASSES)
     keys, (own, size), slack = _expanded(a[at], np.int64), _expanded(b[at], np.int32).reshape(2, -1), _expanded(c[at], np.int32)
     rest = [i for i, k in enumerate(kinds) if k != CLASSES]
     entries = np.concatenate([_expanded(a[i], np.int64) for i in rest]) if rest else np.zeros(0, dtype=np.int64)
     owner = np.concatenate([_expanded(b[i], np.int32) for i in rest]) if rest else np.zeros(0, dtype=np.int32)
+    # Linked sets share a number of entries at least; with fewer hits a class links with nothing in that band.
+    band = np.repeat(own, 2) - np.tile([0, 1], len(own)).astype(own.dtype)
+    enough = np.bincount(owner, minlength=len(slack)) >= needed(slack.astype(np.int64), band)
+    short = np.flatnonzero(slack < 0).astype(owner.dtype)
+    entries = np.concatenate([entries[enough[owner]], np.full(len(short), SHORT, dtype=np.int64)])
+    owner = np.concatenate([owner[enough[owner]], short])
     who = owner // 2
-    columns = (entries, keys[who], (own[who] - owner % 2).astype(np.int32), own[who], size[who], slack[owner])
-    return pa.table([pa.array(x) for x in columns], names=["entry", "cls", "band", "own", "size", "slack"])
+    columns = (entries, keys[who], owner % 2, own[who], size[who], slack[owner])
+    return pa.table([pa.array(x) for x in columns], names=["entry", "cls", "lower", "own", "size", "slack"])
+
+
+@cache
+def first_plain_band() -> int:
+    """From this band on segments are indexed without neighbourhoods."""
+    return next(b for b in range(len(bands()) - 1) if not allocation(b)[1])
+
+
+def needed(slack: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Entries that linked sets share at least: what is allocated beyond the differences, 2 for a segment with neighbourhood."""
+    return np.maximum(1, np.where(band >= first_plain_band(), slack + 1, slack // 2 + 1))
+
+
+def _needed(slack: F.Column, band: F.Column) -> F.Column:
+    return F.greatest(F.lit(1), F.when(band >= first_plain_band(), slack + 1).otherwise(F.floor(slack / 2) + 1))
 
 
 def shared_entries(docs: DataFrame, n_shingles: int) -> DataFrame:
@@ -332,7 +361,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, shingles) of the rows wanted(wanted_row) of docs(row, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             for _, shingles, n in shingle_sets(_texts(batch.column(0))):
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(shingles.view(np.int64)))
@@ -366,104 +395,143 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
 
 
-def _cross_pairs(rows: DataFrame, key: str, most: int | None) -> tuple[DataFrame, DataFrame]:
+def _matching_sizes(x, y) -> F.Column:
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return (5 * x >= 4 * y) & (5 * y >= 4 * x)
+
+
+def _cross_pairs(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, busy): pairs of rows(key, cls, component, ...) with equal key and different components.
 
     Only members outside a key's largest component are joined with all its members, so members of one
     component never meet.  Keys with more than ``most`` such pairs per member are left out and listed in
-    busy(key); None leaves out none.  Pairs have x and y as aliases of their rows.
+    busy (the rows of ``rows`` with these keys).  Pairs have x and y as aliases of their rows.
     """
     sizes = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
     stats = sizes.groupBy(key).agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("inner"), F.max(F.struct("n", "component")).alias("top"))
-    stats = stats.filter(F.col("top.n") < F.col("members")).select(F.col(key).alias("k"), F.col("top.component").alias("largest"), ((F.col("members") * F.col("members") - F.col("inner")) / 2 > F.lit(most or 0) * F.col("members")).alias("busy"))
-    stats = materialise(stats if most is not None else stats.withColumn("busy", F.lit(False)), "jaccard-keys")
-    open_rows = rows.join(stats.filter("NOT busy"), F.col(key) == F.col("k")).drop("k", "busy")
-    x, y = open_rows.filter("component <> largest").alias("x"), open_rows.alias("y")
+    stats = stats.filter(F.col("top.n") < F.col("members")).select(F.col(key).alias("k"), F.col("top.component").alias("largest"), ((F.col("members") * F.col("members") - F.col("inner")) / 2 > F.lit(most) * F.col("members")).alias("busy"))
+    open_rows = materialise(rows.join(stats, F.col(key) == F.col("k")).drop("k"), "jaccard-open")
+    few = open_rows.filter("NOT busy")
+    x, y = few.filter("component <> largest").alias("x"), few.alias("y")
     # Two members outside the largest component meet once.
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls"))
     pairs = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.component") != F.col("y.component")) & once)
-    return pairs, stats.filter("busy").select(F.col("k").alias(key))
+    return pairs, open_rows.filter("busy")
 
 
-def _matching_sizes(x: str, y: str) -> F.Column:
-    return (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
+def _prefix(n, size) -> F.Column:
+    """How many of a set's n tokens, rarest first, hold one that any linked set has too; size: of the whole set."""
+    return n - F.ceil(size * 4 / 5) + 1
 
 
-def _rare_prefix_pairs(sets: DataFrame, unresolved: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of unresolved classes of different components that share one of their rarest shingles (prefix filter)."""
-    named = unresolved.join(labels, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"))
-    mine = sets.join(named, "cls").select("cls", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    mine = materialise(mine, "jaccard-tokens")
-    often = mine.groupBy("shingle").count()
-    # Linked sets share at least 4/5 of either, so one of the rarest n - ceil(4n/5) + 1 of each.
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("count", "shingle"))
-    prefix = mine.join(often, "shingle").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * 4 / 5) + 1)
-    pairs, _ = _cross_pairs(materialise(prefix.select("shingle", "cls", "component", "size"), "jaccard-prefix"), "shingle", None)
-    return _pairs(pairs.filter(_matching_sizes("x.size", "y.size")).select(F.col("x.cls").alias("c"), F.col("y.cls").alias("d")), "c", "d")
-
-
-def _needed(slack: str) -> F.Column:
-    """Entries that linked sets share at least: what is allocated beyond the differences, 2 for a segment with neighbourhood."""
-    plain = [b for b in range(len(bands()) - 1) if not allocation(b)[1]][0]
-    return F.greatest(F.lit(1), F.when(F.col("band") >= plain, F.col(slack) + 1).otherwise(F.floor(F.col(slack) / 2) + 1))
+def hot_part_pairs(tokens: DataFrame, most: int) -> DataFrame:
+    """Candidates (a, b) of different components for all links among tokens(cls, component, size, shingle).
 
-
-def _possible(members: DataFrame) -> DataFrame:
-    """Members without sets that share too few entries in a band to link there, and entries that this leaves alone."""
-    enough = members.groupBy("cls", "band", "slack").count().filter(F.col("count") >= _needed("slack")).select("cls", "band")
-    kept = members.join(enough, ["cls", "band"], "left_semi")
-    several = kept.groupBy("entry").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("entry")
-    return kept.join(several, "entry", "left_semi")
-
-
-def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of matching size that share as many entries as linked sets must in the smaller one's band."""
-    mine = ("entry", "band", "own", "size", "slack")
-    x = members.select(F.col("cls").alias("a"), "entry", "band", *(F.col(c).alias(f"x_{c}") for c in mine[2:]))
-    y = members.select(F.col("cls").alias("b"), "entry", *(F.col(c).alias(f"y_{c}") for c in mine[2:]))
-    both = pairs.join(x, "a").join(y, ["b", "entry"])
-    fit = both.filter((F.col("band") == F.least("x_own", "y_own")) & _matching_sizes("x_size", "y_size"))
-    counted = fit.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max(F.greatest("x_slack", "y_slack")).alias("slack"))
-    return counted.filter(F.col("n") >= _needed("slack")).select("a", "b").distinct()
+    ``size`` is the size of the set; its tokens may be a part of it, where only these can be shared.  Hot are
+    shingles of more than ``most`` classes.  Links that share a shingle which is not hot share one in their
+    prefixes, where each meets at most ``most`` others.  Links that share hot shingles alone depend on the hot
+    parts P, Q and the sizes: with the smallest class of each part, y of Q, a class x of P links if
+    9 * |P & Q| >= 4 * (|x| + |y|), and then so does the smallest class of P.  So one candidate y for each x and
+    the pairs of smallest classes keep all components together.
+    """
+    # Members of different components share no shingle that occurs in one component alone.
+    counts = tokens.groupBy("shingle").agg(F.count("*").alias("classes"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").drop("c0", "c1")
+    ranked = tokens.join(counts, "shingle").withColumn("hot", F.col("classes") > most)
+    in_class = Window.partitionBy("cls")
+    ranked = ranked.withColumn("rank", F.row_number().over(in_class.orderBy("hot", "classes", "shingle"))).withColumn("n", F.count("*").over(in_class))
+    ranked = ranked.filter(_prefix(F.col("n"), F.col("size")) > 0)
+    ranked = materialise(ranked.filter(F.col("hot") | (F.col("rank") <= _prefix(F.col("n"), F.col("size")))).drop("classes"), "jaccard-ranked")
+
+    # Shingles that are not hot.
+    x, y = ranked.filter("NOT hot").alias("x"), ranked.filter("NOT hot").alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) + 1
+    reach = 9 * rest >= 4 * (F.col("x.size") + F.col("y.size"))
+    own = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & reach & _matching_sizes("x.size", "y.size"))
+    found = own.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+
+    # Hot parts of the classes whose prefix reaches into them.
+    part = F.bit_xor(F.xxhash64("shingle")).alias("p"), F.bit_xor(F.xxhash64(F.lit(7), "shingle")).alias("q")
+    parts = ranked.filter("hot").groupBy("cls", "component", "size", "n").agg(*part, F.count("*").alias("n_hot"))
+    parts = materialise(parts.filter(F.col("n") - F.col("n_hot") < _prefix(F.col("n"), F.col("size"))), "jaccard-parts")
+    least = F.min(F.struct("size", "cls", "component")).alias("least")
+    groups = parts.groupBy("p", "q", "n_hot").agg(least, F.count("*").alias("members"))
+    groups = materialise(groups.select("p", "q", "n_hot", F.col("least.cls").alias("hub"), F.col("least.size").alias("hub_size"), F.col("least.component").alias("hub_component"), "members"), "jaccard-parts")
+    inside = parts.join(groups, ["p", "q", "n_hot"]).filter((F.col("component") != F.col("hub_component")) & (9 * F.col("n_hot") >= 4 * (F.col("size") + F.col("hub_size"))))
+    found = found.unionByName(inside.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")))
+    n_groups = groups.count()
+    if n_groups < 2:
+        return found.distinct()
+    hubs = ranked.filter("hot").join(groups.select(F.col("hub").alias("cls")), "cls", "left_semi").select("cls", "component", "size", "shingle")
+    # Hot shingles of classes may be rare among distinct hot parts; where they are not, more pairs are allowed.
+    deeper = materialise(hot_part_pairs(hubs, most if n_groups < parts.count() / 2 else 4 * most), "jaccard-hubs")
+    bags = hubs.groupBy("cls").agg(F.collect_list("shingle").alias("bag"))
+    common = deeper.join(bags.withColumnRenamed("cls", "a").withColumnRenamed("bag", "bag_a"), "a").join(bags.withColumnRenamed("cls", "b").withColumnRenamed("bag", "bag_b"), "b").select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("shared"))
+    both = common.select("a", "b", "shared").union(common.select("b", "a", "shared"))
+    other = groups.select(F.col("hub").alias("b"), "hub_size", "hub_component")
+    # The other part whose hub takes the largest classes of this one.
+    best = both.join(other, "b").groupBy(F.col("a").alias("hub")).agg(F.max(F.struct((F.floor(F.col("shared") * 9 / 4) - F.col("hub_size")).alias("upto"), F.col("b").alias("to"), F.col("hub_component").alias("to_component"))).alias("best"))
+    reached = groups.select("p", "q", "n_hot", "hub").join(best, "hub").select("p", "q", "n_hot", "best.*")
+    across = parts.join(reached, ["p", "q", "n_hot"]).filter((F.col("size") <= F.col("upto")) & (F.col("component") != F.col("to_component")) & (F.col("cls") != F.col("to")))
+    return found.unionByName(deeper.select("a", "b")).unionByName(across.select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b"))).distinct()
 
 
 def class_components(docs: DataFrame, per_row: DataFrame) -> DataFrame:
     """(node, component) of the classes that link with another one.  ``docs`` is (row, id, text)."""
     n_shingles = per_row.agg(F.sum("n_shingles")).first()[0] or 0
-    members = materialise(shared_entries(docs.select("row", "text"), int(n_shingles)).distinct(), "jaccard-members")
-    members = materialise(_possible(_possible(members)), "jaccard-members")
-    touched = members.select(F.col("cls").alias("c")).distinct()
+    raw = materialise(shared_entries(docs.select("row", "text"), int(n_shingles)).distinct(), "jaccard-entries")
+    short = raw.filter(F.col("entry") == SHORT).select("cls").distinct()
+    entries = raw.filter(F.col("entry") != SHORT)
+    centers = entries.groupBy("entry").agg(F.min(F.struct("cls", "size")).alias("center"), F.max("cls").alias("last")).filter("center.cls <> last").select("entry", "center")
+    # One row per class and band, with its entries and their centers; classes with too few shared entries go.
+    listed = entries.join(centers, "entry").groupBy("cls", "lower", "own", "size", "slack").agg(F.collect_list("entry").alias("entries"), F.collect_set("center").alias("centers"))
+    lists = materialise(listed.withColumn("band", F.col("own") - F.col("lower")).filter(F.size("entries") >= _needed(F.col("slack"), F.col("band"))), "jaccard-lists")
+    short = materialise(short, "jaccard-short")
+    release(raw)
+    touched = lists.select("cls").union(short).select(F.col("cls").alias("c")).distinct()
     first_rows = per_row.filter("n_shingles > 0").groupBy("cls").agg(F.min("row").alias("wanted_row"))
     wanted = first_rows.join(touched, F.col("cls") == F.col("c"), "left_semi").select("wanted_row")
     sets = materialise(class_sets(docs.select("row", "text"), wanted), "jaccard-sets")
 
-    # All members of an entry with its least class.
-    centers = members.groupBy("entry").agg(F.min("cls").alias("center"))
-    tested = materialise(_likely(_pairs(members.join(centers, "entry"), "cls", "center"), members), "jaccard-tested")
+    # All members of an entry with its least class, if they share enough entries.
+    stars = lists.select("cls", "size", F.explode("centers").alias("center")).filter((F.col("cls") != F.col("center.cls")) & _matching_sizes("size", "center.size"))
+    pairs = _pairs(stars.select("cls", F.col("center.cls").alias("center")), "cls", "center")
+    mine = lists.select("cls", "band", "own", "slack", "entries")
+    x, y = (mine.select(*(F.col(c).alias(f"{c}_{side}") for c in mine.columns)) for side in "ab")
+    both = pairs.join(x, F.col("a") == F.col("cls_a")).join(y, (F.col("b") == F.col("cls_b")) & (F.col("band_a") == F.col("band_b")))
+    likely = both.filter((F.col("band_a") == F.least("own_a", "own_b")) & (F.size(F.array_intersect("entries_a", "entries_b")) >= _needed(F.greatest("slack_a", "slack_b"), F.col("band_a"))))
+    tested = materialise(likely.select("a", "b").distinct(), "jaccard-tested")
     edges = materialise(verified(tested, sets), "jaccard-edges")
     labels = connected_components(edges)
 
     # Entries that still span components.
-    named = members.join(labels, F.col("cls") == F.col("node"), "left").select("entry", "cls", "band", "own", "size", "slack", F.coalesce("component", "cls").alias("component"))
-    spread = named.groupBy("entry").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("entry")
-    open_rows = materialise(named.join(spread, "entry", "left_semi"), "jaccard-open")
-    pairs, busy = _cross_pairs(open_rows, "entry", GROUP)
-    lost = open_rows.join(busy, "entry", "left_semi").groupBy("cls", "band").agg((F.count("*") * 2).alias("lost"))
-    # What a class has allocated beyond the differences allowed in a band, frequent entries left out.
-    left = materialise(open_rows.select("cls", "band", "slack").distinct().join(lost, ["cls", "band"], "left").select("cls", "band", (F.col("slack") - F.coalesce("lost", F.lit(0))).alias("left")), "jaccard-left")
-    fit = pairs.filter((F.col("x.band") == F.least("x.own", "y.own")) & _matching_sizes("x.size", "y.size"))
-    shared = fit.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.col("x.band").alias("band")).agg(F.count("*").alias("n"))
+    named = lists.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "band", "own", "size", "slack", F.coalesce("component", "cls").alias("component"), F.explode("entries").alias("entry"))
+    pairs, busy = _cross_pairs(named, "entry", GROUP)
+    lost = busy.groupBy("cls", "band").agg((F.count("*") * 2).alias("lost"))
+    # What a class has left in a band without the busy entries; none where it is weak.
+    state = materialise(lost.join(lists.select("cls", "band", "slack"), ["cls", "band"]).select("cls", "band", (F.col("slack") - F.col("lost")).alias("left"), (2 * (F.col("slack") - F.col("lost")) < F.col("slack")).alias("weak")), "jaccard-left")
+    fit = pairs.filter((F.col("x.band") == F.col("y.band")) & (F.col("x.band") == F.least("x.own", "y.own")) & _matching_sizes("x.size", "y.size"))
+    first = F.col("x.cls") < F.col("y.cls")
+    side = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    (a, b), (slack_a, slack_b) = side("cls"), side("slack")
+    shared = fit.groupBy(a.alias("a"), b.alias("b"), F.col("x.band").alias("band"), slack_a.alias("slack_a"), slack_b.alias("slack_b")).agg(F.count("*").alias("n"))
     for c in ("a", "b"):
-        shared = shared.join(left.select(F.col("cls").alias(c), "band", F.col("left").alias(f"left_{c}")), [c, "band"])
-    likely = shared.withColumn("slack", F.greatest("left_a", "left_b")).filter(F.col("n") >= _needed("slack"))
+        shared = shared.join(state.select(F.col("cls").alias(c), "band", F.when(F.col("weak"), -1).otherwise(F.col("left")).alias(f"left_{c}")), [c, "band"], "left")
+    slack = F.greatest(F.coalesce("left_a", "slack_a"), F.coalesce("left_b", "slack_b"))
+    likely = shared.filter((slack >= 0) & (F.col("n") >= _needed(slack, F.col("band"))))
     third = materialise(likely.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-tested")
-    edges = edges.unionByName(materialise(verified(third, sets), "jaccard-edges"))
-
-    short = materialise(left.filter("left < 0").select("cls").distinct(), "jaccard-short")
-    if not short.isEmpty():
-        labels = connected_components(edges)
-        last = materialise(_rare_prefix_pairs(sets, short, labels), "jaccard-tested")
+    more = materialise(verified(third, sets), "jaccard-edges")
+    edges = edges.unionByName(more)
+
+    weak = materialise(state.filter("weak").select("cls").union(short).distinct(), "jaccard-weak")
+    if not weak.isEmpty():
+        if not more.isEmpty():
+            labels = connected_components(edges)
+        mine = sets.join(weak, "cls").join(labels, F.col("cls") == F.col("node"), "left")
+        tokens = materialise(mine.select("cls", F.coalesce("component", "cls").alias("component"), F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "jaccard-tokens")
+        last = materialise(hot_part_pairs(tokens, GROUP), "jaccard-tested")
         edges = edges.unionByName(materialise(verified(last, sets), "jaccard-edges"))
+        release(tokens)
+    release(lists, sets, short)
     return connected_components(edges)
 
 
