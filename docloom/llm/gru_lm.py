@@ -6,9 +6,9 @@ words.  Other words are the token UNKNOWN, times their share of the counts outsi
 
 The network is a GRU in numpy with a class-factored softmax (class, then word within class).  Training
 is truncated backpropagation: windows of ``STEPS`` tokens, with the state carried from window to window
-of a document.  It runs data-parallel on all training documents in every round: each of the trainers
-takes whole documents, block after block, and the trainers' parameters are averaged in Spark after each
-round.  Scoring reads every document whole, state carried to its end.
+of a document.  It is one pass over all training documents in ``ROUNDS`` data-parallel rounds, each with
+its share of the documents (by hash): every trainer takes whole documents, block after block, in the
+order of their keys, and the trainers' parameters are averaged in Spark after the round.  Scoring reads every document whole, state carried to its end.
 
 Defined results: a null text counts as empty, so its tokens are the end alone; a null id counts as the
 empty text in the crc32; every input row gives one row, also where ids repeat; without training
@@ -20,14 +20,15 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import expanded, materialise, squeezed, table, text_bytes
-from .wordsums import count_words, sum_per_document
+from .common import expanded, materialise, release, slices, squeezed, table, text_bytes
+from .wordsums import FREQUENT_BYTES, count_words, sum_per_document
 
 CLASSES, PER_CLASS, HIDDEN = 32, 32, 16
 VOCABULARY = CLASSES * PER_CLASS
@@ -39,7 +40,7 @@ TRAINER_TOKENS = 400_000
 #: Beyond so many trainers each takes more documents, in blocks of BLOCK_TOKENS (but for a single longer document).
 MOST_TRAINERS = 128
 BLOCK_TOKENS = 2_000_000
-SCORE_LANES, TRAIN_LANES = 1024, 48
+SCORE_LANES, TRAIN_LANES = 1024, 128
 #: Tokens that a task scores at once, but for a single longer document.
 SCORE_TOKENS = 2_000_000
 SEGMENTS = 16
@@ -145,23 +146,31 @@ def _states(p: dict, x: np.ndarray, starts: np.ndarray, h: np.ndarray) -> tuple[
 
 
 def _forward(p: dict, x: np.ndarray, starts: np.ndarray, h: np.ndarray):
-    """States after each step, the last state, and what backpropagation needs."""
-    n, steps = HIDDEN, len(x)
-    states = np.empty((steps, *h.shape), dtype=np.float32)
-    cache = []
+    """States after each step, the last state, and what backpropagation needs (lanes are columns there)."""
+    n, (steps, lanes) = HIDDEN, x.shape
+    table, u, begins = np.ascontiguousarray((p["e"] + p["b"]).T), np.ascontiguousarray(p["u"].T), starts.any(1)
+    before, inner, cand, states = (np.empty((steps, n, lanes), dtype=table.dtype) for _ in range(4))
+    gates = np.empty((steps, 2 * n, lanes), dtype=table.dtype)
+    h = np.ascontiguousarray(h.T)
     for t in range(steps):
-        if starts[t].any():
-            h = np.where(starts[t][:, None], np.float32(0), h)
-        a = p["e"][x[t]]
-        a += p["b"]
-        g = h @ p["u"]
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + g[:, : 2 * n])))
-        r, z = gates[:, :n], gates[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-        cache.append((h, r, z, c, g[:, 2 * n :]))
-        h = c + z * (h - c)
-        states[t] = h
-    return states, h, cache
+        if begins[t]:
+            h = np.where(starts[t], table.dtype.type(0), h)
+        before[t] = h
+        a, g = table.take(x[t], axis=1), u @ h
+        both, c = gates[t], cand[t]
+        np.add(a[: 2 * n], g[: 2 * n], out=both)
+        np.negative(both, out=both)
+        np.exp(both, out=both)
+        both += 1
+        np.reciprocal(both, out=both)
+        inner[t] = g[2 * n :]
+        np.multiply(both[:n], g[2 * n :], out=c)
+        c += a[2 * n :]
+        np.tanh(c, out=c)
+        d = h - c
+        d *= both[n:]
+        h = np.add(c, d, out=states[t])
+    return states.transpose(0, 2, 1), h.T, (before, gates, cand, inner)
 
 
 def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,22 +221,33 @@ def _softmax_parts(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None):
     return logp, dh
 
 
-def _backward(p: dict, x: np.ndarray, starts: np.ndarray, cache: list, dstates: np.ndarray, grads: dict) -> None:
-    n = HIDDEN
-    dh = np.zeros_like(dstates[0])
-    for t in range(len(x) - 1, -1, -1):
-        h, r, z, c, gn = cache[t]
-        dh = dh + dstates[t]
-        dz = dh * (h - c) * z * (1 - z)
-        dc = dh * (1 - z) * (1 - c * c)
-        dr = dc * gn * r * (1 - r)
-        da = np.concatenate([dr, dz, dc], axis=1)
-        dg = np.concatenate([dr, dz, dc * r], axis=1)
-        np.add.at(grads["e"], x[t], da)
-        grads["b"] += da.sum(0)
-        grads["u"] += h.T @ dg
-        dh = dh * z + dg @ p["u"].T
-        dh[starts[t]] = 0
+def _backward(p: dict, x: np.ndarray, starts: np.ndarray, cache: tuple, dstates: np.ndarray, grads: dict) -> None:
+    n, (steps, lanes) = HIDDEN, x.shape
+    before, gates, cand, inner = cache
+    r, z = gates[:, :n], gates[:, n:]
+    # What dh is multiplied by for each gate.
+    to_z, to_c, to_r = (before - cand) * z * (1 - z), (1 - z) * (1 - cand * cand), inner * r * (1 - r)
+    given, begins = np.ascontiguousarray(dstates.transpose(0, 2, 1)), starts.any(1)
+    da, dg = (np.empty((steps, 3 * n, lanes), dtype=gates.dtype) for _ in range(2))
+    dh = np.zeros((n, lanes), dtype=gates.dtype)
+    for t in range(steps - 1, -1, -1):
+        dh += given[t]
+        mine = da[t]
+        np.multiply(dh, to_c[t], out=mine[2 * n :])
+        np.multiply(dh, to_z[t], out=mine[n : 2 * n])
+        np.multiply(mine[2 * n :], to_r[t], out=mine[:n])
+        dg[t, : 2 * n] = mine[: 2 * n]
+        np.multiply(mine[2 * n :], r[t], out=dg[t, 2 * n :])
+        dh *= z[t]
+        dh += p["u"] @ dg[t]
+        if begins[t]:
+            dh[:, starts[t]] = 0
+    grads["b"] += da.sum((0, 2))
+    grads["u"] += np.tensordot(before, dg, axes=([0, 2], [0, 2]))
+    tokens = x.ravel()
+    order = np.argsort(tokens, kind="stable")
+    lead = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+    grads["e"][tokens[order[lead]]] += np.add.reduceat(da.transpose(0, 2, 1).reshape(-1, 3 * n)[order], lead, axis=0)
 
 
 def document_scores(flat: np.ndarray, docs: list[np.ndarray], lanes: int = SCORE_LANES) -> np.ndarray:
@@ -299,15 +319,15 @@ def train_blocks(flat: np.ndarray, docs: Iterable[np.ndarray], rate: float) -> t
 
 
 def train(texts: DataFrame, vocabulary: dict, flat: np.ndarray, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Data-parallel rounds over all of texts(key, text): train apart, then average in Spark."""
+    """One pass over all of texts(key, text) in data-parallel rounds: train apart, then average in Spark."""
     spark = texts.sparkSession
-    trainers = max(1, min(MOST_TRAINERS, -(-tokens // TRAINER_TOKENS)))
+    trainers = max(1, min(MOST_TRAINERS, -(-tokens // (rounds * TRAINER_TOKENS))))
     words = spark.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = words.value.get
-        for b in batches:
-            ids = [squeezed(np.array([get(w, UNKNOWN) for w in lower_words(text_bytes(t))] + [END], dtype=np.int32)) for t in b.column(1).to_pylist()]
+        for b in slices(batches, 1):
+            ids = [squeezed(np.array([*map(get, lower_words(text_bytes(t)), repeat(UNKNOWN)), END], dtype=np.int16)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
     encoded = materialise(texts.mapInArrow(encode, "key long, ids binary"), "lm-training")
@@ -315,20 +335,23 @@ def train(texts: DataFrame, vocabulary: dict, flat: np.ndarray, tokens: int, rou
         current, rate = spark.sparkContext.broadcast(flat), RATE * (1 - k / (rounds + 1))
 
         def run(batches: Iterator[pa.RecordBatch], current=current, rate=rate) -> Iterator[pa.RecordBatch]:
-            mine, seen = train_blocks(current.value, (expanded(x, np.int32) for b in batches for x in b.column(1).to_pylist()), rate)
+            mine, seen = train_blocks(current.value, (expanded(x, np.int16) for b in batches for x in b.column(1).to_pylist()), rate)
             if seen:
                 parts = np.array_split(mine.astype(np.float64) * seen, SEGMENTS)
                 yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([float(seen)] * SEGMENTS), pa.array([x.tobytes() for x in parts], pa.binary())], ["segment", "seen", "sums"])
 
         def average(group: pa.Table) -> pa.Table:
             seen = sum(group.column("seen").to_pylist())
-            sums = sum(np.frombuffer(x, dtype=np.float64) for x in group.column("sums").to_pylist())
+            # In an order that does not depend on which trainer was done first.
+            sums = sum(np.frombuffer(x, dtype=np.float64) for x in sorted(group.column("sums").to_pylist()))
             return pa.table([pa.array([group.column("segment")[0].as_py()], pa.int32()), pa.array([seen]), pa.array([(sums / seen).tobytes()], pa.binary())], names=["segment", "seen", "sums"])
 
         schema = "segment int, seen double, sums binary"
-        rows = encoded.repartition(trainers, "key").sortWithinPartitions("key").mapInArrow(run, schema).groupBy("segment").applyInArrow(average, schema).collect()
+        share = encoded.filter(F.pmod(F.xxhash64("key", F.lit("round")), F.lit(rounds)) == k)
+        rows = share.repartition(trainers, "key").sortWithinPartitions("key").mapInArrow(run, schema).groupBy("segment").applyInArrow(average, schema).collect()
         if rows:
             flat = np.concatenate([np.frombuffer(r.sums, dtype=np.float64) for r in sorted(rows, key=lambda r: r.segment)]).astype(np.float32)
+    release(encoded)
     return flat
 
 
@@ -341,37 +364,40 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_docs = training.count()
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = (sums.n or 0) + n_docs, sums.v + (n_docs > 0)
-    top = words.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).select("word", "n").collect()
+    top = words.filter(F.length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).select("word", "n").collect()
     vocabulary = {bytes(r.word): k + 2 for k, r in enumerate(top)}
     inside = sum(r.n for r in top)
     outside, rest_words = (sums.n or 0) - inside, sums.v - len(top)
     counts = np.array([outside, n_docs, *(r.n for r in top)], dtype=np.float64)
-    log_counts = np.log10(np.concatenate([[0, 0], counts[2:]]) + 1.0)
+    log_counts = np.zeros(VOCABULARY)
+    log_counts[2 : len(counts)] = np.log10(counts[2:] + 1.0)
 
     # Texts are part of the key, so that rows without an id are spread too.
     key = F.xxhash64(F.col(id_col).cast("string"), text_col)
     flat = train(training.select(key.alias("key"), F.col(text_col).alias("text")), vocabulary, start_parameters(counts), n)
-    shared = spark.sparkContext.broadcast((flat, vocabulary, log_counts))
-
-    def encode(words: list[bytes]) -> np.ndarray:
-        get = shared.value[1].get
-        return np.array([get(w, UNKNOWN) for w in words] + [END], dtype=np.int32)
-
-    def network(ids: list[np.ndarray]) -> dict:
-        weights, _, logs = shared.value
+    shared = spark.sparkContext.broadcast((flat, log_counts))
+
+    def network(numbers: np.ndarray, counts: np.ndarray) -> dict:
+        """Words are numbered by frequency, so the vocabulary has the least numbers."""
+        weights, logs = shared.value
+        ids = np.where((numbers >= 0) & (numbers < VOCABULARY - 2), numbers + 2, UNKNOWN)
+        ids = np.insert(ids, np.cumsum(counts), END)
+        ends = np.cumsum(counts + 1)
+        texts = np.split(ids, ends[:-1])
+        of = np.repeat(np.arange(len(counts)), counts + 1)
         parts, start, size = [], 0, 0
-        for i, one in enumerate([*ids, None]):
+        for i, one in enumerate([*texts, None]):
             if one is None or (size and size + len(one) > SCORE_TOKENS):
-                parts.append(document_scores(weights, ids[start:i]))
+                parts.append(document_scores(weights, texts[start:i]))
                 start, size = i, 0
             size += 0 if one is None else len(one)
         return {
             "network": np.concatenate(parts),
-            "inside": np.array([logs[i].sum() for i in ids]),
-            "n_unknown": np.array([float((i == UNKNOWN).sum()) for i in ids]),
+            "inside": np.bincount(of, weights=logs[ids], minlength=len(counts)),
+            "n_unknown": np.bincount(of, weights=ids == UNKNOWN, minlength=len(counts)),
         }
 
-    out = sum_per_document(docs, words, ["lc", "known"], id_col, text_col, lower_words, encode=encode, extra=network, extra_cols=("network", "inside", "n_unknown"))
+    out = sum_per_document(docs, words, ["lc", "known"], id_col, text_col, lower_words, extra=network, extra_cols=("network", "inside", "n_unknown"))
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
     n_tokens = F.col("n_words") + 1
     base = F.col("lc") + F.lit(float(np.log10(n_docs + 1.0))) - n_tokens * F.lit(float(np.log10(n + v + 1.0)))
