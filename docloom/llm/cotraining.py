@@ -2,15 +2,17 @@
 
 Two logistic classifiers see different views of a document: the words and character statistics of its
 text, and its page metadata (language, source, length).  Over rounds each one labels the unlabelled
-documents it is most sure of for the other.  Both are then calibrated on labelled documents kept apart
+documents it is most sure of for the other.  All unlabelled documents are candidates in every round: Spark
+scores them and takes the most confident ones.  Both are then calibrated on labelled documents kept apart
 (Platt scaling), combined by a last logistic step on the two calibrated scores, and applied to all
 documents.
 
 A document is good when its label says quality 1 and toxic 0 (a null counts as missing; a row needs
 quality, toxic may be missing).  ``rejected`` is a combined probability of being good under 0.5.
 
-Fitting uses bounded samples: ``LABELLED`` labelled and ``POOL`` unlabelled documents, those with the
-smallest hashes of their ids, whatever the order of the tables.  Scoring reads every document whole.
+The classifiers are fitted on at most ``LABELLED`` labelled documents, those with the smallest hashes of
+their ids, and the pseudo-labels, ``EXCHANGE`` from each view per round.  Features are counted once per
+document; every document is read whole.
 
 Defined results: a null text counts as empty, a null source or language as a value of its own, a null
 n_chars as 0; documents with several labels count once, with the mean of their labels; every input row
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import materialise, release, slices, table, text_bytes
 
 LABELLED = 6000
-POOL = 6000
 ROUNDS = 5
-#: Pseudo-labels that each view gives the other per round, as a share of the pool.
-EXCHANGE = 0.05
+#: Pseudo-labels that each view gives the other per round.
+EXCHANGE = 300
 WORD_SLOTS = 1 << 18
 META_SLOTS = 1 << 10
 #: Words count only where they tell the two kinds apart by so many standard deviations.
@@ -81,9 +82,14 @@ def text_features(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slots, weights, np.minimum(dense, 5).astype(np.float32)
 
 
-def meta_features(lang, source, n_chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1 << 12)
+def _meta_slots(lang, source) -> np.ndarray:
     names = (f"lang={lang}", f"source={source}", f"both={lang},{source}")
-    slots = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % META_SLOTS for x in names], dtype=np.int32)
+    return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % META_SLOTS for x in names], dtype=np.int32)
+
+
+def meta_features(lang, source, n_chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    slots = _meta_slots(lang, source)
     size = np.log1p(max(0, n_chars or 0))
     return slots, np.full(len(slots), 0.3, dtype=np.float32), np.array([size / 10, (size / 10) ** 2, float(size < 5), float(size > 9), 1.0], dtype=np.float32)
 
@@ -174,8 +180,13 @@ class Model:
         return sigmoid(margins[0]), sigmoid(margins[1]), sigmoid(x * margins[0] + y * margins[1] + c)
 
 
-def co_train(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) -> Model:
-    """labelled: (hash, text row, meta row, good in [0, 1]); pool: (hash, text row, meta row)."""
+#: (margins to 0/1 per view: text and meta classifier, how many good, how many bad, ids not to offer) -> for each
+#: view the most confident good and bad rows (id, text row, meta row, margin), best first.
+MostConfident = Callable[[list, int, int, set], list[tuple[list, list]]]
+
+
+def co_train(labelled: list[tuple], most_confident: MostConfident | None, rounds: int = ROUNDS) -> Model:
+    """labelled: (id, text row, meta row, good in [0, 1]); ``most_confident`` searches the unlabelled documents."""
     good = np.array([x[3] for x in labelled])
     model = Model(float(good.mean()) if len(good) else 1.0)
     hard = good > 0.5
@@ -189,30 +200,27 @@ def co_train(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) ->
         held[:] = False
     fit = np.flatnonzero(~held)
     views = [[x[1] for x in labelled], [x[2] for x in labelled]]
-    pools = [[x[1] for x in pool], [x[2] for x in pool]]
-    given: list[dict[int, float]] = [{}, {}]
+    # What each view was given: id -> (rows of both views, label).
+    given: list[dict] = [{}, {}]
     classifiers = [Logistic(WORD_SLOTS, select=True), Logistic(META_SLOTS)]
 
     def refit(v: int) -> None:
-        extra = sorted(given[v])
-        rows = [views[v][i] for i in fit] + [pools[v][i] for i in extra]
-        target = np.concatenate([good[fit], [given[v][i] for i in extra]])
+        extra = list(given[v].values())
+        rows = [views[v][i] for i in fit] + [x[0][v] for x in extra]
+        target = np.concatenate([good[fit], [x[1] for x in extra]])
         weight = np.concatenate([np.ones(len(fit)), np.full(len(extra), 0.5)])
         classifiers[v].fit(rows, target, weight)
 
     for v in (0, 1):
         refit(v)
-    for _ in range(rounds if pool else 0):
-        offers = []
-        for v in (0, 1):
-            margin = classifiers[v].margin(pools[v])
+    share = float(good[fit].mean())
+    n_good, n_bad = max(1, round(EXCHANGE * share)), max(1, round(EXCHANGE * (1 - share)))
+    for _ in range(rounds if most_confident else 0):
+        found, offers = most_confident(classifiers, n_good, n_bad, given[0].keys() | given[1].keys()), []
+        for v, (best, worst) in enumerate(found):
             a, b = _platt(classifiers[v].margin([views[v][i] for i in np.flatnonzero(held)]), good[held]) if held.any() else (1.0, 0.0)
-            p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-            n = max(1, int(len(pool) * EXCHANGE))
-            share = float(good[fit].mean())
-            sure_good = [i for i in np.argsort(-p, kind="stable") if i not in given[1 - v] and p[i] > 0.95][: max(1, round(n * share))]
-            sure_bad = [i for i in np.argsort(p, kind="stable") if i not in given[1 - v] and p[i] < 0.05][: max(1, round(n * (1 - share)))]
-            offers.append({int(i): 1.0 for i in sure_good} | {int(i): 0.0 for i in sure_bad})
+            p = lambda z, a=a, b=b: 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+            offers.append({i: ((t, m), 1.0) for i, t, m, z in best if p(z) > 0.95} | {i: ((t, m), 0.0) for i, t, m, z in worst if p(z) < 0.05})
         given[1] |= offers[0]
         given[0] |= offers[1]
         if not offers[0] and not offers[1]:
@@ -235,68 +243,112 @@ def co_train(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) ->
     return model
 
 
-def _sample_rows(docs: DataFrame, ids: list, id_col: str) -> list[tuple]:
-    """(id, text features, meta features) of the documents with these ids (a bounded list)."""
-    spark = docs.sparkSession
+FEATURES = "id {id}, slots binary, dense binary, lang string, source string, n_chars long"
+
+
+def document_features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of FEATURES: the text's features counted, the metadata as they are."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            found = [text_features(text_bytes(t)) for t in batch.column(1).to_pylist()]
+            slots, dense = ([x[i].tobytes() for x in found] for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.binary()), pa.array(dense, pa.binary()), *(batch.column(i) for i in (2, 3, 4))], ["id", "slots", "dense", "lang", "source", "n_chars"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    return rows.mapInArrow(count, FEATURES.format(id=id_type))
+
+
+def _rows_of(batch: pa.RecordBatch) -> tuple[list, list]:
+    """Feature rows of both views from a batch (or table) of FEATURES."""
+    text = []
+    for slots, dense in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        slots = np.frombuffer(slots, dtype=np.int32)
+        text.append((slots, np.ones(len(slots), dtype=np.float32), np.frombuffer(dense, dtype=np.float32)))
+    return text, [meta_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return slices(batches, 1, 1 << 20)
+
+
+def _fetch(features: DataFrame, ids: list) -> dict:
+    """id -> (text row, meta row) of the documents with these ids (a bounded list)."""
     if not ids:
-        return []
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], f"_id {docs.schema[id_col].dataType.simpleString()}"))
-    found = docs.select(id_col, "text", "lang", "source", "n_chars").join(wanted, F.col(id_col) == F.col("_id"), "left_semi")
-    feature = pa.struct([("slots", pa.binary()), ("weights", pa.binary()), ("dense", pa.binary())])
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, meta = [], []
-            for t, lang, source, n in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                for out, row in ((text, text_features(text_bytes(t))), (meta, meta_features(lang, source, n))):
-                    out.append(dict(zip(("slots", "weights", "dense"), (x.tobytes() for x in row), strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, feature), pa.array(meta, feature)], ["id", "text", "meta"])
-
-    kind = "struct<slots: binary, weights: binary, dense: binary>"
-    rows = found.mapInArrow(extract, f"id {docs.schema[id_col].dataType.simpleString()}, text {kind}, meta {kind}").collect()
-    load = lambda r: (np.frombuffer(r.slots, dtype=np.int32), np.frombuffer(r.weights, dtype=np.float32), np.frombuffer(r.dense, dtype=np.float32))
-    seen = {r.id: (r.id, load(r.text), load(r.meta)) for r in rows}
-    return [seen[i] for i in ids if i in seen]
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """A model from bounded samples of the labelled and the unlabelled documents."""
-    by_hash = F.xxhash64(F.col(id_col), F.lit("sample"))
+        return {}
+    wanted = F.broadcast(features.sparkSession.createDataFrame([(i,) for i in ids], f"wanted {features.schema['id'].dataType.simpleString()}"))
+    found = features.join(wanted, F.col("id") == F.col("wanted"), "left_semi").orderBy("id", "slots", "dense", "lang", "source", "n_chars").toArrow()
+    text, meta = _rows_of(found)
+    return dict(zip(found.column(0).to_pylist(), zip(text, meta, strict=True), strict=True))
+
+
+def spark_most_confident(features: DataFrame, known: DataFrame) -> MostConfident:
+    """Searches all rows of ``features`` whose id is not null and not in known(id)."""
+    id_type = features.schema["id"].dataType.simpleString()
+
+    def search(classifiers: list, n_good: int, n_bad: int, skip: set) -> list[tuple[list, list]]:
+        models = features.sparkSession.sparkContext.broadcast(classifiers)
+
+        def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            text, meta = models.value
+            for batch in _pieces(batches):
+                x, y = _rows_of(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text.margin(x)), pa.array(meta.margin(y))], ["id", "z0", "z1"])
+
+        scored = features.filter("id IS NOT NULL").mapInArrow(margins, f"id {id_type}, z0 double, z1 double")
+        scored = materialise(scored.join(known, "id", "left_anti"), "quality-margins")
+        chosen = []
+        for v in ("z0", "z1"):
+            for order, n in ((F.desc(v), n_good), (F.asc(v), n_bad)):
+                # Documents that were given away before are passed over; repeated ids count once.
+                rows = scored.groupBy("id").agg(F.max("z0").alias("z0"), F.max("z1").alias("z1")).orderBy(order, F.xxhash64("id"), "id").limit(n + len(skip)).collect()
+                chosen.append([(r.id, r[v]) for r in rows if r.id not in skip][:n])
+        release(scored)
+        models.unpersist()
+        rows = _fetch(features, sorted({i for x in chosen for i, _ in x}))
+        chosen = [[(i, *rows[i], z) for i, z in x] for x in chosen]
+        return [(chosen[0], chosen[1]), (chosen[2], chosen[3])]
+
+    return search
+
+
+def fit_quality(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED) -> Model:
+    """A model from a bounded sample of the labelled and from all unlabelled rows of ``features``."""
     good = F.when(F.col("quality").isNotNull(), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("double"))
-    known = labels.select(F.col(id_col), good.alias("good")).filter("good IS NOT NULL").groupBy(id_col).agg(F.avg("good").alias("good"))
-    own = docs.select(id_col).filter(F.col(id_col).isNotNull())
-    chosen = known.join(own, id_col, "left_semi").orderBy(by_hash, id_col).limit(labelled).collect()
-    rest = own.join(known, id_col, "left_anti").distinct().orderBy(by_hash, id_col).limit(pool).collect()
-    target = {r[id_col]: r.good for r in chosen}
-    rows = _sample_rows(docs, [r[id_col] for r in chosen] + [r[id_col] for r in rest], id_col)
-    return co_train([(i, t, m, target[i]) for i, t, m in rows if i in target], [x for x in rows if x[0] not in target])
+    known = labels.select(F.col(id_col).alias("id"), good.alias("good")).filter("good IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.avg("good").alias("good"))
+    known = materialise(known, "quality-labels")
+    chosen = known.join(features.select("id"), "id", "left_semi").orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(labelled).collect()
+    rows = _fetch(features, [r.id for r in chosen])
+    return co_train([(r.id, *rows[r.id], r.good) for r in chosen], spark_most_confident(features, known.select("id")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """id, text_score, meta_score, score, rejected for every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_col))
+    """id, text_score, meta_score, score, rejected for every row of docs(id, text, lang, source, n_chars)."""
+    features = materialise(document_features(docs, id_col), "quality-features")
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(features, labels, id_col))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
-            text = [text_features(text_bytes(t)) for t in batch.column(1).to_pylist()]
-            meta = [meta_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            a, b, c = m.scores(text, meta)
+        for batch in _pieces(batches):
+            a, b, c = m.scores(*_rows_of(batch))
             rejected = (c < threshold) if m.text is not None else np.zeros(len(c), dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in (a, b, c)), pa.array(rejected, pa.bool_())], [id_col, "text_score", "meta_score", "score", "rejected"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text", "lang", "source", "n_chars").mapInArrow(score, f"`{id_col}` {id_type}, text_score double, meta_score double, score double, rejected boolean")
+    return features.mapInArrow(score, f"`{id_col}` {id_type}, text_score double, meta_score double, score double, rejected boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, all columns; scored in the same pass."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_col))
+    """The rows of ``docs`` that are not rejected, all columns; texts are read again, so rows need no key."""
+    features = materialise(document_features(docs, id_col), "quality-features")
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(features, labels, id_col))
+    release(features)
     text_at, lang_at, source_at, size_at = (docs.columns.index(c) for c in ("text", "lang", "source", "n_chars"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in slices(batches, text_at):
             text = [text_features(text_bytes(t)) for t in batch.column(text_at).to_pylist()]
             meta = [meta_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (lang_at, source_at, size_at)), strict=True)]
             good = m.scores(text, meta)[2] >= threshold if m.text is not None else np.ones(batch.num_rows, dtype=bool)

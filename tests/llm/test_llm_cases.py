@@ -318,3 +318,45 @@ def test_tool_chat_null_conversations(spark):
     rows = [(None, 0, "call", "a", "c0", "f", None, ["c1"], None), (None, 1, "call", "a", "c1", "f", None, [], None), (None, None, "call", "a", None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
     out = {(r.call_id, r.turn, r.kind): r for r in tool_chat.format_tool_chat(messages(spark, rows), schemas).collect()}
     assert len(out) == 4 and out["c0", 0, "call"].level == 1 and out["c1", 1, "call"].level == 0
+
+
+def test_quality_searches_all_unlabelled_documents(spark, monkeypatch):
+    """The same model as when a plain loop over all unlabelled documents chooses the pseudo-labels."""
+    monkeypatch.setattr(cotraining, "EXCHANGE", 20)
+    rng = np.random.Generator(np.random.PCG64(6))
+    rows = [(i, " ".join(f"w{rng.integers(0, 60)}" for _ in range(40)) + (" fine" if i % 3 else " !! ## bad")) for i in range(600)] + [(700, "w1 fine"), (700, "w1 fine"), (None, "bad ## !!")]
+    d = docs(spark, rows).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    features = cotraining.document_features(d)
+    plain, known = {}, set(range(90))
+    for r in features.collect():
+        text = (np.frombuffer(r.slots, dtype=np.int32),) * 2
+        plain[r.id] = ((text[0], np.ones(len(text[0]), dtype=np.float32), np.frombuffer(r.dense, dtype=np.float32)), cotraining.meta_features(r.lang, r.source, r.n_chars))
+    calls = []
+
+    def loop(classifiers, n_good, n_bad, skip):
+        out = []
+        for v in (0, 1):
+            z = {i: float(classifiers[v].margin([x[v]])[0]) for i, x in plain.items() if i is not None and i not in known and i not in skip}
+            order = sorted(z, key=lambda i: (-z[i], i))
+            out.append(([(i, *plain[i], z[i]) for i in order[:n_good]], [(i, *plain[i], z[i]) for i in sorted(z, key=lambda i: (z[i], i))[:n_bad]]))
+        calls.append(out)
+        return out
+
+    search = cotraining.spark_most_confident(features, labels.select(F.col("doc_id").alias("id")))
+    target = {i: float(i % 3 != 0) for i in known}
+    labelled = [(i, *plain[i], target[i]) for i in sorted(known)]
+
+    def both(classifiers, n_good, n_bad, skip):
+        ours, want = search(classifiers, n_good, n_bad, skip), loop(classifiers, n_good, n_bad, skip)
+        for x, y in zip(ours, want, strict=True):
+            for a, b in zip(x, y, strict=True):
+                assert np.allclose([r[3] for r in a], [r[3] for r in b])
+        return want
+
+    model = cotraining.co_train(labelled, both)
+    assert calls and len(calls) <= cotraining.ROUNDS
+    wrong = np.mean([(model.scores([x[0]], [x[1]])[2][0] > 0.5) != (i % 3 != 0) for i, x in plain.items() if i is not None and 90 <= i < 600])
+    assert wrong < 0.1
+    # Without co-training rounds the combination rests on the labelled documents alone.
+    assert cotraining.co_train(labelled, None).text is not None
