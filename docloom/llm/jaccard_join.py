@@ -376,19 +376,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = pairs.join(sets.withColumnRenamed("shingles", "sa"), pairs.a == sets.cls).select("a", "b", "sa")
     both = left.join(sets.withColumnRenamed("shingles", "sb"), left.b == F.col("cls")).select("a", "b", "sa", "sb")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                z = np.concatenate([x, y])
-                z.sort()
-                common = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * common >= 80 * (len(x) + len(y) - common))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
-
-    return both.mapInArrow(check, "a long, b long")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(100 * common >= 80 * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
