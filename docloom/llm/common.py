@@ -17,7 +17,22 @@ from pyspark.sql import functions as F
 LOCAL_WORK_DIR = "/tmp/checkpoints/docloom"
 
 
+#: Rows of whole texts in one Arrow batch, which an executor holds several times outside its heap.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS, SPARK_DEFAULT = "1000", "10000"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``TEXT_ROWS`` rows where the session leaves Spark's default, which suits rows of numbers.
+
+    The setting stays: batches are made when the caller runs the plan.  It changes no result.
+    """
+    if spark.conf.get(ARROW_ROWS, SPARK_DEFAULT) == SPARK_DEFAULT:
+        spark.conf.set(ARROW_ROWS, TEXT_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

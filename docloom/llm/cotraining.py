@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, release, slices, table, text_bytes
+from .common import materialise, release, slices, table, text_batches, text_bytes
 
 LABELLED = 6000
 ROUNDS = 5
@@ -249,6 +249,7 @@ FEATURES = "id {id}, slots binary, dense binary, lang string, source string, n_c
 def document_features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of FEATURES: the text's features counted, the metadata as they are."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    text_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, table, text_bytes
+from .common import fresh, materialise, slices, table, text_bytes
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
 #: Words of a shard's suffix array at most, but for a single document with more.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 
 _WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -172,20 +172,20 @@ def _search_block(docs: DataFrame, items: list[tuple[str, str]], window: int) ->
                 matches[d].append({"at": at, "words": n, "window": int(test.length[s]), "item_id": test.item[s], "item_at": int(test.item_pos[s])})
             return pa.RecordBatch.from_arrays([pa.concat_arrays(rows), pa.concat_arrays(ids), pa.array(counts, pa.int64()), pa.array(matches, MATCH)], ["row", "id", "n_words", "matches"])
 
-        for batch in batches:
-            rows, ids, counts, numbers = [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                words = alnum_words(text_bytes(text.as_py()))
-                rows.append(batch.column(0).slice(i, 1))
-                ids.append(batch.column(1).slice(i, 1))
+        rows, ids, counts, numbers = [], [], [], []
+        for batch in slices(batches, 2):
+            rows.append(batch.column(0))
+            ids.append(batch.column(1))
+            for text in batch.column(2).to_pylist():
+                words = alnum_words(text_bytes(text))
                 counts.append(len(words))
                 numbers += [number(w, 0) for w in words]
                 numbers.append(-2)
-                if len(numbers) > SHARD_WORDS:
-                    yield shard(rows, ids, counts, numbers)
-                    rows, ids, counts, numbers = [], [], [], []
-            if rows:
+            if len(numbers) > SHARD_WORDS:
                 yield shard(rows, ids, counts, numbers)
+                rows, ids, counts, numbers = [], [], [], []
+        if rows:
+            yield shard(rows, ids, counts, numbers)
 
     return docs.mapInArrow(search, f"row long, id {docs.schema['id'].dataType.simpleString()}, n_words long, matches {MATCH_SQL}")
 

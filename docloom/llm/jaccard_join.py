@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import expanded as _expanded
-from .common import fresh, materialise, release, slices, table, text_bytes
+from .common import fresh, materialise, release, slices, table, text_batches, text_bytes
 from .common import squeezed as _squeezed
 from .components import connected_components
 from .wordhash import chunks, hash_words, mix, short_sequence, windows
@@ -526,6 +526,7 @@ def class_components(docs: DataFrame, per_row: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for every row."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     per_row = materialise(document_classes(rows), "jaccard-rows")
     parts = class_components(rows, per_row)

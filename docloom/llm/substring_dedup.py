@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, table, text_bytes
+from .common import materialise, shuffle_partitions, slices, table, text_bytes
 from .wordhash import chunks, hash_words, mix, windows
 
 WINDOW = 50
@@ -109,10 +109,10 @@ def packed_probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, types, strict=True)], ["key", "kind", "batch", "a", "b", "c"])
 
-        for batch in batches:
+        parts, size = [], 0
+        for batch in slices(batches, 2):
             row, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [text_bytes(t) for t in batch.column(2).to_pylist()]
-            parts, size = [], 0
             for x, y in chunks(texts):
                 words, counts = hash_words(texts[x:y])
                 ends = np.cumsum(counts)
@@ -124,8 +124,8 @@ def packed_probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                     parts, size = [], 0
                 parts.append((row[x:y], ident[x:y], counts, hashes, place + size))
                 size += len(words)
-            if parts:
-                yield record(parts)
+        if parts:
+            yield record(parts)
 
     return docs.mapInArrow(pack, PACKED)
 
