@@ -6,10 +6,12 @@ are loaded once, and texts are sent once per distinct stripped value.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
@@ -20,9 +22,14 @@ BATCH = 32
 _made: dict = {}
 
 
-def once(factory: Callable[[], Callable]) -> Callable:
-    """The factory's product, made once per worker; a failure is remembered and raised again."""
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
+def model_name(factory: Callable[[], Callable]) -> str:
+    """A name that two factories share only if code and enclosed values are the same."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def once(factory: Callable[[], Callable], name: str | None = None) -> Callable:
+    """The product of the factory of that name, made once per worker; a failure is remembered and raised again."""
+    key = name or model_name(factory)
     if key not in _made:
         try:
             _made[key] = factory()
@@ -45,9 +52,11 @@ def retried(call: Callable, tries: int = 3, wait: float = 1.0, on: tuple[type[Ex
 
 
 def _batched(factory: Callable[[], Callable], returns, batch: int):
+    name = model_name(factory)
+
     @F.pandas_udf(returns)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = once(factory)
+        model = once(factory, name)
         for part in parts:
             texts, out = part.fillna("").tolist(), []
             for i in range(0, len(texts), batch):
@@ -100,6 +109,7 @@ def without_score_rows(requirements: DataFrame, marks: list[str]) -> DataFrame:
     return out
 
 
+#: The kinds of relation that results must name.
 RELATIONS = ("related", "prerequisite", "complementary", "derived_from")
 
 

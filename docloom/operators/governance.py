@@ -39,6 +39,13 @@ def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
+def insert_missing_guards(guard: DataFrame, documents: DataFrame) -> DataFrame:
+    """The guard with an ACTIVE row, without version and hash, for each document(id, tenant_id) that it lacks."""
+    missing = documents.join(guard.select(F.col("document_id").alias("_guarded")), F.col("id") == F.col("_guarded"), "left_anti")
+    rows = missing.select(F.col("id").alias("document_id"), "tenant_id", F.lit("ACTIVE").alias("lifecycle_status"))
+    return guard.unionByName(rows.dropDuplicates(["document_id"]), allowMissingColumns=True)
+
+
 def backfill(rows: DataFrame, key: str, parents: DataFrame, column: str, parent_key: str = "id") -> DataFrame:
     """Fill a null column from the parent, only where the parent's value is unambiguous."""
     one = parents.groupBy(F.col(parent_key).alias("_parent")).agg(F.min(column).alias("_value"), F.countDistinct(column).alias("_n")).filter("_n = 1").drop("_n")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 ACTIVE, DELETED, QUARANTINED = "ACTIVE", "DELETED", "QUARANTINED"
 LIFECYCLES = (ACTIVE, DELETED, QUARANTINED)
 JOB_STATES = ("PENDING", "RUNNING", "COMPLETED", "FAILED", "OBSOLETE")
-APPLY, IDEMPOTENT, STALE = "APPLY", "IDEMPOTENT", "STALE"
+APPLY, IDEMPOTENT, STALE = "APPLY", "IDEMPOTENT", "REJECT_STALE"
 REJECT_TENANT, REJECT_DELETED, REJECT_QUARANTINED, VERSION_MISMATCH = "REJECT_TENANT_MISMATCH", "REJECT_DELETED", "REJECT_QUARANTINED", "REJECT_VERSION_MISMATCH"
 LEASE_SECONDS = 900
 ERROR_CHARS = 1024

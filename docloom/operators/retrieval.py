@@ -163,6 +163,20 @@ def expand_sections(sections: DataFrame, hits: DataFrame, allowed: DataFrame) ->
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).dropDuplicates(["document_id", "id"])
 
 
+def expand_pattern_sources(sections: DataFrame, sources: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(pattern_id, document_id, id): the source sections of each pattern, their parents and siblings, each once.
+
+    sources: (pattern_id, document_id, id); as in ``expand_sections`` only allowed documents count.
+    """
+    rows = sections.join(allowed, "document_id", "left_semi")
+    mine = sources.join(rows, ["document_id", "id"])
+    up = mine.filter(F.coalesce("parent_id", F.lit(0)) != 0).select("pattern_id", "document_id", "parent_id").distinct()
+    parents = up.select("pattern_id", "document_id", F.col("parent_id").alias("id")).join(rows.select("document_id", "id"), ["document_id", "id"])
+    siblings = up.join(rows, ["document_id", "parent_id"])
+    parts = [x.select("pattern_id", "document_id", "id") for x in (mine, parents, siblings)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
 def classify_queries(queries: DataFrame, rules: DataFrame, task_words: Sequence[str]) -> DataFrame:
     """Adds domains, pattern_types and task.  rules: rule_order, domain, keywords, pattern_types.
 

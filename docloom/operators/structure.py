@@ -15,13 +15,21 @@ from docloom.functions.scalar import strip
 MAX_LEVEL = 9
 
 
+#: Numbers of more parts than this count as text ("1.2.3.4 x" is no heading).
+NUMBER_PARTS = 3
+
+
+def _numbered_level(text: Column) -> Column:
+    """How many parts the number has that a text starts with, where words follow it; null without such a number."""
+    pieces = F.split(text, r"\s+", 2)
+    parts = F.split(F.get(pieces, F.lit(0)), r"\.")
+    return F.when((F.size(pieces) == 2) & (F.size(parts) <= NUMBER_PARTS) & F.forall(parts, lambda x: x.rlike("^[0-9]+$")), F.size(parts))
+
+
 def heading_level(text: Column, rules: Sequence[tuple[str, int]], dotted: bool = True) -> Column:
-    """Level of a heading by (pattern, level) rules, first match first; then dotted numbers ("2.1 Title" is 2, at most 4)."""
+    """Level of a heading by (pattern, level) rules, first match first; then by its number ("2.1 Title" is 2)."""
     t = strip(text)
-    out = F.lit(None).cast("int")
-    if dotted:
-        number = F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+){0,2})\s+\S", 1)
-        out = F.when(number != "", F.least(F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1, F.lit(4)))
+    out = _numbered_level(t) if dotted else F.lit(None).cast("int")
     for pattern, level in reversed(rules):
         out = F.when(t.rlike(pattern), F.lit(level)).otherwise(out)
     return out
@@ -52,11 +60,12 @@ def section_tree(blocks: DataFrame, orphan_root: bool = True) -> DataFrame:
     """
     by_pos = Window.partitionBy("document_id").orderBy("pos")
     before = by_pos.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_pos.rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, so that the frame grows row by row instead of being read again for each row.
+    after = Window.partitionBy("document_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     heads = blocks.filter("kind = 'heading'").withColumn("level", F.least(F.greatest("level", F.lit(1)), F.lit(MAX_LEVEL)))
     heads = heads.withColumn("section_id", F.row_number().over(by_pos) - 1)
     above = F.array(*(F.last(F.when(F.col("level") < k, F.col("section_id")), ignorenulls=True).over(before) for k in range(1, MAX_LEVEL + 1)))
-    stop = F.array(*(F.first(F.when(F.col("level") <= k, F.col("pos")), ignorenulls=True).over(after) for k in range(1, MAX_LEVEL + 1)))
+    stop = F.array(*(F.last(F.when(F.col("level") <= k, F.col("pos")), ignorenulls=True).over(after) for k in range(1, MAX_LEVEL + 1)))
     tree = heads.select("document_id", "pos", "section_id", F.element_at(above, F.col("level")).alias("parent_id"), "level", F.col("text").alias("title"), F.element_at(stop, F.col("level")).alias("end_pos"))
     if not orphan_root:
         return tree

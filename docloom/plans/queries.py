@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +16,7 @@ from docloom.operators import lifecycle as lc
 from docloom.operators import retrieval as rt
 from docloom.operators import structure as st
 from docloom.plans import views as v
+from docloom.session import shared_path
 from docloom.sources import files
 from docloom.streaming.versions import version_stream
 
@@ -106,7 +104,7 @@ def qa_scope_filter(spark, sf):
 
 
 # Rule tables are the caller's data; these use words of the test texts.
-INTENTS = [(0, "quality", ["thth", "qualit"], ["quality_system", "risk_control"]), (1, "schedule", ["ering", "keit"], ["schedule", "resource_assurance"]), (2, "security", ["ouan", "ción"], ["security", "risk_control"]), (3, "training", ["eaux", "heit"], ["training"])]
+INTENTS = [(0, "quality", ["thth", "qualit"], ["pattern_kind_3", "pattern_kind_6"]), (1, "schedule", ["ering", "keit"], ["pattern_kind_4", "pattern_kind_5"]), (2, "security", ["ouan", "ción"], ["pattern_kind_8", "pattern_kind_6"]), (3, "training", ["eaux", "heit"], ["pattern_kind_11"])]
 TASK_WORDS = ["how", "und", "tion"]
 
 
@@ -160,9 +158,9 @@ def input_hash_sha256(spark, sf):
     return v.d_document(spark, sf).select("id", s.input_hash(fields, {"b": F.col("tenant_id"), "a": F.lit(1)}).alias("input_hash"))
 
 
-@query("hash_embedding", "WITH r AS (SELECT doc_id, [(('0x' || substr(md5(left(text, 80) || ':' || i), 1, 2))::INT - 128) / 128.0::DOUBLE for i in range(16)] AS e FROM documents) SELECT doc_id, round(e[1] / sqrt(list_inner_product(e, e)), 9) AS x0, round(e[16] / sqrt(list_inner_product(e, e)), 9) AS x15 FROM r")
+@query("hash_embedding", "WITH r AS (SELECT doc_id, [(('0x' || substr(md5(text || ':' || i), 1, 2))::INT - 128) / 128.0::DOUBLE for i in range(16)] AS e FROM documents) SELECT doc_id, round(e[1] / sqrt(list_inner_product(e, e)), 9) AS x0, round(e[16] / sqrt(list_inner_product(e, e)), 9) AS x15 FROM r")
 def hash_embedding(spark, sf):
-    e = s.hash_embedding(F.left("text", F.lit(80)), 16)
+    e = s.hash_embedding(F.col("text"), 16)
     return v.t(spark, sf, "documents").select("doc_id", e.alias("e")).select("doc_id", F.round(F.get("e", F.lit(0)), 9).alias("x0"), F.round(F.get("e", F.lit(15)), 9).alias("x15"))
 
 
@@ -285,10 +283,10 @@ def _patterns(spark, sf):
 _PV = ("d_pattern", "d_pattern_source", "d_document", "d_guard")
 
 
-@query("pattern_topk_scoped", v.with_views(*_PV, body=f"{_ALLOWED} SELECT id, type, round({_SIM}, 4) AS score FROM allowed WHERE status = 'active' AND type IN ('schedule', 'security', 'training') AND embedding IS NOT NULL ORDER BY {_SIM} DESC, id LIMIT 5"))
+@query("pattern_topk_scoped", v.with_views(*_PV, body=f"{_ALLOWED} SELECT id, type, round({_SIM}, 4) AS score FROM allowed WHERE status = 'active' AND type IN ('pattern_kind_4', 'pattern_kind_8', 'pattern_kind_11') AND embedding IS NOT NULL ORDER BY {_SIM} DESC, id LIMIT 5"))
 def pattern_topk_scoped(spark, sf):
     rows, _ = _patterns(spark, sf)
-    return rt.pattern_search(rows, _query_vector(spark, sf), ["schedule", "security", "training"]).select("id", "type", "score")
+    return rt.pattern_search(rows, _query_vector(spark, sf), ["pattern_kind_4", "pattern_kind_8", "pattern_kind_11"]).select("id", "type", "score")
 
 
 @query("pattern_type_fallback", v.with_views(*_PV, body=f"{_ALLOWED} SELECT id, type, round({_SIM}, 4) AS score FROM allowed WHERE status = 'active' AND embedding IS NOT NULL ORDER BY {_SIM} DESC, id LIMIT 5"))
@@ -353,10 +351,10 @@ def version_conflicts(spark, sf):
     return v.d_request(spark, sf).groupBy("document_id", "index_version").agg(F.countDistinct("input_hash").alias("n_hashes"), F.count("*").alias("n_rows")).filter("n_hashes > 1")
 
 
-@query("trusted_backfill", v.with_views("d_chunk", "d_document", body="SELECT c.id, coalesce(c.tenant_id, d.tenant_id, -1) AS tenant_id FROM d_chunk c LEFT JOIN d_document d ON d.id = c.document_id WHERE c.id % 97 = 0 OR c.tenant_id IS NULL"))
+@query("trusted_backfill", v.with_views("d_chunk", "d_document", body="SELECT c.id, coalesce(c.tenant_id, d.tenant_id, -1) AS tenant_id FROM d_chunk c LEFT JOIN d_document d ON d.id = c.document_id"))
 def trusted_backfill(spark, sf):
-    chunks = v.d_chunk(spark, sf, embeddings=False)
-    return gv.backfill(chunks, "document_id", v.d_document(spark, sf).select("id", "tenant_id"), "tenant_id").filter("id % 97 = 0 OR tenant_id IS NULL").select("id", F.coalesce("tenant_id", F.lit(-1)).alias("tenant_id"))
+    """Chunks without a tenant get their document's; all others keep theirs."""
+    return trusted_backfill_all(spark, sf)
 
 
 @query("trusted_backfill_all", v.with_views("d_chunk", "d_document", body="SELECT c.id, coalesce(c.tenant_id, d.tenant_id, -1) AS tenant_id FROM d_chunk c LEFT JOIN d_document d ON d.id = c.document_id"))
@@ -386,7 +384,7 @@ def chunk_type_census(spark, sf):
     return gv.counts_by(v.d_chunk(spark, sf, embeddings=False), "tenant_id")
 
 
-_DECIDE = "CASE WHEN g.document_id IS NULL THEN 'APPLY' WHEN g.tenant_id <> r.tenant_id THEN 'REJECT_TENANT_MISMATCH' WHEN lifecycle_status = 'DELETED' THEN 'REJECT_DELETED' WHEN lifecycle_status <> 'ACTIVE' THEN 'REJECT_QUARANTINED' WHEN current_index_version IS NULL THEN 'APPLY' WHEN index_version < current_index_version THEN 'STALE' WHEN index_version = current_index_version AND index_input_hash IS NOT DISTINCT FROM input_hash THEN 'IDEMPOTENT' WHEN index_version = current_index_version THEN 'REJECT_VERSION_MISMATCH' ELSE 'APPLY' END"
+_DECIDE = "CASE WHEN g.document_id IS NULL THEN 'APPLY' WHEN g.tenant_id <> r.tenant_id THEN 'REJECT_TENANT_MISMATCH' WHEN lifecycle_status = 'DELETED' THEN 'REJECT_DELETED' WHEN lifecycle_status <> 'ACTIVE' THEN 'REJECT_QUARANTINED' WHEN current_index_version IS NULL THEN 'APPLY' WHEN index_version < current_index_version THEN 'REJECT_STALE' WHEN index_version = current_index_version AND index_input_hash IS NOT DISTINCT FROM input_hash THEN 'IDEMPOTENT' WHEN index_version = current_index_version THEN 'REJECT_VERSION_MISMATCH' ELSE 'APPLY' END"
 
 
 @query("guard_decide", v.with_views("d_request", "d_guard", body=f"SELECT request_id, {_DECIDE} AS decision FROM d_request r LEFT JOIN d_guard g USING (document_id)"))
@@ -505,10 +503,9 @@ def relation_edges(spark, sf):
     return ex.relation_edges(raw, d.select(i.alias("id")))
 
 
-@query("llm_extract_stub", "SELECT conv_id, turn, 0 AS item_no, text AS text, length(text) % 10 AS page FROM conversations WHERE role = 'user' AND NOT contains(text, '\"') AND NOT contains(text, chr(92)) AND NOT contains(text, chr(10)) AND trim(text) <> ''")
+@query("llm_extract_stub", r"SELECT conv_id, turn, 0 AS item_no, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, length(text) % 10 AS page FROM conversations WHERE role = 'user' AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''")
 def llm_extract_stub(spark, sf):
-    rows = v.t(spark, sf, "conversations").filter("role = 'user'").filter(~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("\\")) & ~F.contains("text", F.lit("\n")))
-    return _extracted(rows)
+    return llm_extract_stub_all(spark, sf)
 
 
 def _extracted(rows: DataFrame) -> DataFrame:
@@ -541,10 +538,126 @@ def file_inspect(spark, sf):
     return rows.select("document_id", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), files.file_type(F.col("path"), F.col("content")).alias("file_type"))
 
 
+@query("repeated_hashes", v.with_views("d_document", body="SELECT file_hash, count(*) AS n_rows FROM d_document GROUP BY 1 HAVING count(*) > 1"))
+def repeated_hashes(spark, sf):
+    """Files that were taken in more than once."""
+    return gv.repeated_keys(v.d_document(spark, sf), "file_hash")
+
+
+@query(
+    "guard_backfill",
+    v.with_views(
+        "d_guard",
+        "d_document",
+        body="""SELECT document_id, tenant_id, lifecycle_status, coalesce(current_index_version, -1) AS current_index_version FROM d_guard
+UNION ALL
+SELECT id, tenant_id, 'ACTIVE', -1 FROM d_document d WHERE NOT EXISTS (SELECT 1 FROM d_guard g WHERE g.document_id = d.id)""",
+    ),
+)
+def guard_backfill(spark, sf):
+    out = gv.insert_missing_guards(v.d_guard(spark, sf), v.d_document(spark, sf))
+    return out.select("document_id", "tenant_id", "lifecycle_status", F.coalesce(F.col("current_index_version").cast("long"), F.lit(-1)).alias("current_index_version"))
+
+
+@query(
+    "pattern_tenant_backfill",
+    v.with_views(
+        "d_pattern",
+        "d_pattern_source",
+        "d_document",
+        body="""one AS (
+  SELECT pattern_id, min(tenant_id) AS tenant_id FROM d_pattern_source s JOIN d_document d ON d.id = s.document_id
+  GROUP BY 1 HAVING count(DISTINCT tenant_id) = 1)
+SELECT p.id, coalesce(CASE WHEN p.id % 7 <> 0 THEN p.tenant_id END, one.tenant_id, -1) AS tenant_id
+FROM d_pattern p LEFT JOIN one ON one.pattern_id = p.id""",
+    ),
+)
+def pattern_tenant_backfill(spark, sf):
+    """Patterns that lost their tenant get that of their source documents where these agree."""
+    patterns = v.d_pattern(spark, sf).select("id", F.when(F.col("id") % 7 != 0, F.col("tenant_id")).alias("tenant_id"))
+    sources = v.d_pattern_source(spark, sf).join(v.d_document(spark, sf).select(F.col("id").alias("document_id"), "tenant_id"), "document_id")
+    filled = gv.backfill(patterns, "id", sources, "tenant_id", "pattern_id")
+    return filled.select("id", F.coalesce("tenant_id", F.lit(-1)).alias("tenant_id"))
+
+
+@query(
+    "invariant_census",
+    v.with_views(
+        "d_chunk",
+        "d_document",
+        "d_guard",
+        "d_pattern",
+        "d_pattern_source",
+        "d_request",
+        body="""SELECT 'chunk_without_tenant' AS name, count(*) AS violations FROM d_chunk WHERE tenant_id IS NULL
+UNION ALL SELECT 'guard_tenant', count(*) FROM d_guard g JOIN d_document d ON d.id = g.document_id WHERE g.tenant_id IS DISTINCT FROM d.tenant_id
+UNION ALL SELECT 'pattern_without_source', count(*) FROM d_pattern p WHERE NOT EXISTS (SELECT 1 FROM d_pattern_source s WHERE s.pattern_id = p.id)
+UNION ALL SELECT 'source_without_pattern', count(*) FROM d_pattern_source s WHERE NOT EXISTS (SELECT 1 FROM d_pattern p WHERE p.id = s.pattern_id)
+UNION ALL SELECT 'pattern_over_tenants', count(*) FROM (
+  SELECT pattern_id FROM d_pattern_source s JOIN d_document d ON d.id = s.document_id GROUP BY 1 HAVING count(DISTINCT tenant_id) > 1)
+UNION ALL SELECT 'pattern_repeated', count(*) FROM (SELECT tenant_id, fingerprint FROM d_pattern GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'document_repeated', count(*) FROM (SELECT id FROM d_document GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'request_over_tenants', count(*) FROM (SELECT document_id FROM d_request GROUP BY 1 HAVING count(DISTINCT tenant_id) > 1)
+UNION ALL SELECT 'chunk_of_deleted', count(*) FROM d_chunk c JOIN d_guard g ON g.document_id = c.document_id WHERE lifecycle_status = 'DELETED'""",
+    ),
+)
+def invariant_census(spark, sf):
+    docs, guard, patterns, sources = v.d_document(spark, sf), v.d_guard(spark, sf), v.d_pattern(spark, sf), v.d_pattern_source(spark, sf)
+    chunks = v.d_chunk(spark, sf, embeddings=False)
+    owners = sources.join(docs.select(F.col("id").alias("document_id"), "tenant_id"), "document_id")
+    deleted = guard.filter(F.col("lifecycle_status") == lc.DELETED).select("document_id")
+    return gv.audit(
+        chunk_without_tenant=chunks.filter("tenant_id IS NULL"),
+        guard_tenant=gv.mismatches(guard, "document_id", docs, "tenant_id"),
+        pattern_without_source=gv.orphans(patterns, "id", sources, "pattern_id"),
+        source_without_pattern=gv.orphans(sources, "pattern_id", patterns),
+        pattern_over_tenants=gv.several_values(owners, "pattern_id", "tenant_id"),
+        pattern_repeated=gv.repeated_keys(patterns, "tenant_id", "fingerprint"),
+        document_repeated=gv.repeated_keys(docs, "id"),
+        request_over_tenants=gv.several_values(v.d_request(spark, sf), "document_id", "tenant_id"),
+        chunk_of_deleted=chunks.join(deleted, "document_id"),
+    )
+
+
+@query(
+    "section_own_content",
+    v.with_views(
+        "d_block",
+        body="""rows AS (SELECT document_id, pos, kind, text, (greatest(sum((kind = 'heading')::INT) OVER (PARTITION BY document_id ORDER BY pos) - 1, 0))::INT AS section_id FROM d_block)
+SELECT document_id, section_id, string_agg(text, chr(10) ORDER BY pos) AS content FROM rows WHERE kind <> 'heading' AND text <> '' GROUP BY 1, 2""",
+    ),
+)
+def section_own_content(spark, sf):
+    return st.own_content(v.d_block(spark, sf))
+
+
+@query(
+    "pattern_expand",
+    v.with_views(
+        "d_block",
+        "d_document",
+        "d_pattern_source",
+        body=f"""{_HEADS_SQL}, allowed AS (SELECT id FROM d_document WHERE tenant_id = 1),
+rows AS (SELECT * FROM tree WHERE document_id IN (SELECT id FROM allowed)),
+hits AS (SELECT s.pattern_id, r.document_id, r.section_id, r.parent_id FROM d_pattern_source s JOIN rows r ON r.document_id = s.document_id AND r.section_id = s.pattern_id % 3),
+up AS (SELECT DISTINCT pattern_id, document_id, parent_id FROM hits WHERE coalesce(parent_id, 0) <> 0)
+SELECT pattern_id, document_id, section_id AS id FROM hits
+UNION SELECT up.pattern_id, r.document_id, r.section_id FROM up JOIN rows r ON r.document_id = up.document_id AND r.section_id = up.parent_id
+UNION SELECT up.pattern_id, r.document_id, r.section_id FROM up JOIN rows r ON r.document_id = up.document_id AND r.parent_id = up.parent_id""",
+    ),
+)
+def pattern_expand(spark, sf):
+    """Of each pattern the source sections (here one per source document), their parents and siblings."""
+    rows = _tree(spark, sf).select("document_id", F.col("section_id").alias("id"), "parent_id")
+    allowed = TENANT.trusted_documents(v.d_document(spark, sf).select("id", "tenant_id"))
+    sources = v.d_pattern_source(spark, sf).select("pattern_id", "document_id", (F.col("pattern_id") % 3).cast("int").alias("id"))
+    return rt.expand_pattern_sources(rows, sources, allowed).select("pattern_id", "document_id", "id")
+
+
 @query("version_stream")
 def version_stream_query(spark, sf):
     """Requests as a stream, in one go; the newest row of each document is its state (equal to guard_merge)."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")).rstrip("/") + f"/version-stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "version-stream")
     v.d_request(spark, sf).drop("ts").write.parquet(f"{base}/in")
     schema = spark.read.parquet(f"{base}/in").schema
     changed = version_stream(spark.readStream.schema(schema).parquet(f"{base}/in"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docloom.operators.doctypes import DOCUMENT_TYPES, LEGACY_TYPES
 
 RAW_TYPES = (*DOCUMENT_TYPES, *LEGACY_TYPES)
-PATTERN_TYPES = tuple("service_process org_structure team_config quality_system schedule resource_assurance risk_control emergency security after_sales data_archive training methodology".split())
+#: Labels made up for these views, one for each remainder.
+PATTERN_TYPES = tuple(f"pattern_kind_{k}" for k in range(13))
 LINE_SPACE = 100_000
 
 
