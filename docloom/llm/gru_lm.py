@@ -40,7 +40,7 @@ TRAINER_TOKENS = 400_000
 #: Beyond so many trainers each takes more documents, in blocks of BLOCK_TOKENS (but for a single longer document).
 MOST_TRAINERS = 128
 BLOCK_TOKENS = 2_000_000
-SCORE_LANES, TRAIN_LANES = 1024, 128
+SCORE_LANES, TRAIN_LANES = 1024, 256
 #: Tokens that a task scores at once, but for a single longer document.
 SCORE_TOKENS = 2_000_000
 SEGMENTS = 16
@@ -174,50 +174,61 @@ def _forward(p: dict, x: np.ndarray, starts: np.ndarray, h: np.ndarray):
 
 
 def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(logits) and its row sums; logits are lowered by their maxima where they are too large for that."""
-    with np.errstate(over="ignore"):
+    """exp(logits) and its sums over classes and over words of a class, one column each.
+
+    logits are lowered by their maxima where they are too large for that.
+    """
+    halves = np.zeros((CLASSES + PER_CLASS, 2), dtype=logits.dtype)
+    halves[:CLASSES, 0] = halves[CLASSES:, 1] = 1
+    with np.errstate(over="ignore", invalid="ignore"):
         e = np.exp(logits)
-    total = e @ np.ones(e.shape[1], dtype=e.dtype)
+        total = e @ halves
     if not np.isfinite(total).all() or (total <= 0).any():
-        logits -= logits.max(1, keepdims=True)
+        for half in (logits[:, :CLASSES], logits[:, CLASSES:]):
+            half -= half.max(1, keepdims=True)
         e = np.exp(logits)
-        total = e.sum(1)
+        total = e @ halves
     return e, total
 
 
 def _softmax_parts(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None):
-    """Natural log probability of each y given h, and (with grads) the gradient on h."""
-    cls, word = y // PER_CLASS, y % PER_CLASS
-    rows = np.arange(len(y))
-    logits = h @ p["wc"]
-    logits += p["bc"]
+    """Natural log probability of each y given h, and (with grads) the gradient on h.
+
+    Rows are sorted by class, so that one product per class gives the logits of all classes and of its words.
+    """
+    n, kind = len(y), np.result_type(h, p["wc"])
+    weights = np.empty((CLASSES, HIDDEN + 1, CLASSES + PER_CLASS), dtype=kind)
+    weights[:, :-1, :CLASSES], weights[:, -1, :CLASSES] = p["wc"], p["bc"]
+    weights[:, :-1, CLASSES:], weights[:, -1, CLASSES:] = p["ww"], p["bw"]
+    order = np.argsort((y // PER_CLASS).astype(np.min_scalar_type(CLASSES)), kind="stable")
+    target = y.take(order)
+    cls, word, rows = target // PER_CLASS, CLASSES + target % PER_CLASS, np.arange(n)
+    bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+    states = np.ones((n, HIDDEN + 1), dtype=kind)
+    states[:, :-1] = h.take(order, axis=0)
+    logits = np.empty((n, CLASSES + PER_CLASS), dtype=kind)
+    for k, at in parts:
+        np.matmul(states[at], weights[k], out=logits[at])
     e, total = _exponentials(logits)
-    logp = logits[rows, cls] - np.log(total)
-    dh = None
-    if grads is not None:
-        d = e / total[:, None]
-        d[rows, cls] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = order[bounds[k] : bounds[k + 1]]
-        if not len(at):
-            continue
-        hk, wk = h[at], word[at]
-        inner = hk @ p["ww"][k]
-        inner += p["bw"][k]
-        e, total = _exponentials(inner)
-        own = np.arange(len(at))
-        logp[at] += inner[own, wk] - np.log(total)
-        if grads is not None:
-            d = e / total[:, None]
-            d[own, wk] -= 1
-            grads["ww"][k] += hk.T @ d
-            grads["bw"][k] += d.sum(0)
-            dh[at] += d @ p["ww"][k].T
+    logp = np.empty(n, dtype=kind)
+    logp[order] = logits[rows, cls] + logits[rows, word] - np.log(total[:, 0]) - np.log(total[:, 1])
+    if grads is None:
+        return logp, None
+    e[:, :CLASSES] /= total[:, :1]
+    e[:, CLASSES:] /= total[:, 1:]
+    e[rows, cls] -= 1
+    e[rows, word] -= 1
+    g, given = np.zeros_like(weights), np.empty((n, HIDDEN), dtype=kind)
+    for k, at in parts:
+        np.matmul(states[at].T, e[at], out=g[k])
+        np.matmul(e[at], weights[k, :-1].T, out=given[at])
+    grads["wc"] += g[:, :-1, :CLASSES].sum(0)
+    grads["bc"] += g[:, -1, :CLASSES].sum(0)
+    grads["ww"] += g[:, :-1, CLASSES:]
+    grads["bw"] += g[:, -1, CLASSES:]
+    dh = np.empty_like(given)
+    dh[order] = given
     return logp, dh
 
 
@@ -243,11 +254,9 @@ def _backward(p: dict, x: np.ndarray, starts: np.ndarray, cache: tuple, dstates:
         if begins[t]:
             dh[:, starts[t]] = 0
     grads["b"] += da.sum((0, 2))
-    grads["u"] += np.tensordot(before, dg, axes=([0, 2], [0, 2]))
-    tokens = x.ravel()
-    order = np.argsort(tokens, kind="stable")
-    lead = np.flatnonzero(np.diff(tokens[order], prepend=-1))
-    grads["e"][tokens[order[lead]]] += np.add.reduceat(da.transpose(0, 2, 1).reshape(-1, 3 * n)[order], lead, axis=0)
+    grads["u"] += np.matmul(before, dg.transpose(0, 2, 1)).sum(0)
+    sums = [np.bincount(x.ravel(), weights=row, minlength=VOCABULARY) for row in da.transpose(1, 0, 2).reshape(3 * n, -1)]
+    grads["e"] += np.stack(sums, axis=1).astype(da.dtype)
 
 
 def document_scores(flat: np.ndarray, docs: list[np.ndarray], lanes: int = SCORE_LANES) -> np.ndarray:
