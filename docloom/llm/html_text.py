@@ -12,7 +12,8 @@ sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
 Templates are sent to the tasks when at most ``BROADCAST_TEMPLATES`` of them (8 bytes each); beyond that
 pages and templates are joined by a shuffle of (page, subtree) pairs and of the pages.
 
-Defined results: null and broken html give what can be read, at least the empty string; hosts are
+Defined results: null and broken html give what can be read, at least the empty string, in time linear in
+their length; hosts are
 compared in lower case, a null or relative url has the empty host; every input row gives one row, also
 where ids are null or repeated; an empty table gives no rows; other columns are ignored.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,8 @@ TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.2
 BROADCAST_TEMPLATES = 1_000_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMES = re.compile(r"[^a-z0-9]+")
 
@@ -44,7 +47,16 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Start tags that end an open p.
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot dd dt li body html".split()) | {"hr"}
-ENDS_SELF = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "option": ("option", ("select",))}
+#: Start tags that end an open element of the first tags, unless one of the second was opened in it.
+ENDS_SELF = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+}
 #: Content of articles, never a template there.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption table tbody thead tfoot tr td th".split())
 DROP_TAGS = frozenset("script style nav footer aside form noscript template iframe svg button select textarea head dialog menu search object embed canvas title".split())
@@ -56,6 +68,79 @@ DROP_NAMES = frozenset(
 DROP_OUTSIDE = frozenset("header masthead topbar".split())
 
 
+def _tag_end(source: str, at: int, doomed: set[int]) -> int:
+    """End of the start tag whose attributes begin at ``at``: behind the next > outside quotes, or behind any > if there is none.
+
+    ``doomed`` keeps the quotes from which no such > can be reached, so that broken pages take linear time too.
+    """
+    met, i = [], at
+    while (m := _MARK.search(source, i)) is not None and m.start() not in doomed:
+        if m[0] == ">":
+            return m.end()
+        met.append(m.start())
+        i = source.find(m[0], m.end()) + 1
+        if not i:
+            break
+    doomed.update(met)
+    return source.index(">", at) + 1
+
+
+def _next_markup(source: str, at: int, last: int, doomed: set[int]) -> tuple[int, int, str | None, str] | None:
+    """(start, end, name, attributes) of the next markup; no name in comments and declarations, a slash before it in end tags.
+
+    ``last`` is the place of the page's last >, behind which only comments are markup.
+    """
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            return start, end + 3 if end >= 0 else len(source), None, ""
+        if start > last:
+            at = source.find("<!--", start)
+            if at < 0:
+                return None
+            continue
+        if source[start + 1] in "!?":
+            return start, source.index(">", start) + 1, None, ""
+        m = _NAME.match(source, start + 1)
+        if m is None:
+            at = start + 1
+        elif m[0][0] == "/":
+            return start, source.index(">", m.end()) + 1, m[0].lower(), ""
+        else:
+            end = _tag_end(source, m.end(), doomed)
+            return start, end, m[1].lower(), source[m.end() : end - 1]
+    return None
+
+
+class _Open:
+    """Stack of open elements that knows where each tag, and any block, is open last; page first."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["#page"]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        self.places[tag].append(len(self.nodes))
+        if tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def last(self, *tags: str) -> int:
+        """Place of the last open element with one of the tags, 0 without one."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all that were opened after it; 0 closes nothing."""
+        while 0 < place < len(self.nodes):
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+
 class Page:
     """A parsed page: elements in order of their start tags, texts in page order."""
 
@@ -65,72 +150,53 @@ class Page:
         self.tags, self.attributes, self.parents = ["#page"], [""], [-1]
         self.content: list[list] = [[]]
         self.texts: list[tuple[int, int, str]] = []  # (number of block edges before it, element, text)
-        stack, edges, at = [0], 0, 0
+        opened, edges, at = _Open(), 0, 0
+        last, doomed = source.rfind(">"), set()
 
         def text(x: int, y: int) -> None:
             if x < y:
                 words = html.unescape(source[x:y])
-                self.texts.append((edges, stack[-1], words))
-                self.content[stack[-1]].append(words)
-
-        n = len(source)
-        while at < n:
-            m = _TOKEN.search(source, at)
-            if m is None:
-                text(at, n)
-                break
-            text(at, m.start())
-            at = m.end()
-            name = m[1]
-            if name is not None:
-                name = name.lower()
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == name:
-                        del stack[i:]
-                        break
-                if name in BLOCK:
-                    edges += 1
-                continue
-            name = m[2] or m[4]
+                self.texts.append((edges, opened.nodes[-1], words))
+                self.content[opened.nodes[-1]].append(words)
+
+        while (found := _next_markup(source, at, last, doomed)) is not None:
+            start, end, name, rest = found
+            text(at, start)
+            at = end
             if name is None:
                 continue
-            name = name.lower()
-            if name in ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    tag = self.tags[stack[i]]
-                    if tag == "p":
-                        del stack[i:]
-                        break
-                    if tag in BLOCK:
-                        break
+            if name[0] == "/":
+                opened.close(opened.last(name[1:]))
+                edges += name[1:] in BLOCK
+                continue
+            if name in ENDS_P and opened.blocks and opened.tags[opened.blocks[-1]] == "p":
+                opened.close(opened.blocks[-1])
             if name in ENDS_SELF:
                 same, within = ENDS_SELF[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    tag = self.tags[stack[i]]
-                    if tag == same or (same in ("dt", "dd") and tag in ("dt", "dd")) or (same in ("td", "th") and tag in ("td", "th")):
-                        del stack[i:]
-                        break
-                    if tag in within:
-                        break
+                place = opened.last(*same)
+                if place > opened.last(*within):
+                    opened.close(place)
             if name in BLOCK:
                 edges += 1
             elif name == "br":
-                self.texts.append((edges, stack[-1], " "))
+                self.texts.append((edges, opened.nodes[-1], " "))
             node = len(self.tags)
             self.tags.append(name)
-            rest = m[3] if m[2] else m[5]
-            self.attributes.append(rest or "")
-            self.parents.append(stack[-1])
-            self.content[stack[-1]].append(node)
+            self.attributes.append(rest)
+            self.parents.append(opened.nodes[-1])
+            self.content[opened.nodes[-1]].append(node)
             self.content.append([])
-            if name in VOID or (rest and rest.endswith("/") and name not in BLOCK and name not in RAW):
+            if name in VOID or (rest.endswith("/") and name not in BLOCK and name not in RAW):
                 continue
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(source, at)
-                self.content[node].append(source[at : end.start() if end else n].strip())
-                at = end.end() if end else n
+                m = re.compile(f"</{re.escape(name)}", re.I).search(source, at)
+                closed = m is not None and m.end() <= last
+                stop = m.start() if closed else len(source)
+                self.content[node].append(source[at:stop].strip())
+                at = source.index(">", stop) + 1 if closed else stop
                 continue
-            stack.append(node)
+            opened.push(node, name)
+        text(at, len(source))
 
     def named(self, node: int) -> tuple[frozenset, str, bool]:
         """Words of class and id, role, hidden."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import zlib
 
 import numpy as np
@@ -276,6 +277,19 @@ def messages(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, kind string, role string, call_id string, name string, arguments string, uses array<string>, text string")
 
 
+def test_broken_pages_take_linear_time():
+    long = 60_000
+    broken = ["<a " * long, '<a ">" ' * long, "<a b=\"'>" * long, "<b>" * long + "</i>" * long, "<b>" * long + "<hr>" * long, "<b>" * long + "<option>" * long, "<script>" + "</script" * long, "<!" * long, "<!--" * long]
+    start = time.monotonic()
+    for source in broken:
+        page = html_text.Page(source)
+        page.subtree_hashes()
+        page.main_text(set())
+    assert time.monotonic() - start < 60
+    assert html_text.Page("a<p title='x>y'>b<p \">c</p>").main_text(set()) == "a\nb\nc"
+    assert html_text.Page("<ul><li>a<b>b<li>c</ul><table><tr><td>d<th>e<tr><td>f</table>g<!--h").main_text(set()) == "ab\nc\nd\ne\nf\ng"
+
+
 def test_tool_chat_cases(spark):
     schemas = spark.createDataFrame([("f", "a", "integer", True), ("f", "b", "string", False), ("g", "x", "object", True)], "name string, param string, type string, required boolean")
     rows = [
