@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docloom.plans import composed  # noqa: F401  (registers its queries)
 from docloom.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "hybrid_rrf"
