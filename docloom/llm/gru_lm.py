@@ -40,7 +40,9 @@ TRAINER_TOKENS = 400_000
 #: Beyond so many trainers each takes more documents, in blocks of BLOCK_TOKENS (but for a single longer document).
 MOST_TRAINERS = 128
 BLOCK_TOKENS = 2_000_000
-SCORE_LANES, TRAIN_LANES = 1024, 256
+#: Few enough lanes and rows in one product that BLAS does it in one thread: more only spin beside Spark's other tasks.
+SCORE_LANES, TRAIN_LANES = 256, 256
+PRODUCT_ROWS = 224
 #: Tokens that a task scores at once, but for a single longer document.
 SCORE_TOKENS = 2_000_000
 SEGMENTS = 16
@@ -180,14 +182,15 @@ def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     halves = np.zeros((CLASSES + PER_CLASS, 2), dtype=logits.dtype)
     halves[:CLASSES, 0] = halves[CLASSES:, 1] = 1
+    sums = lambda e: np.concatenate([e[i : i + 8 * PRODUCT_ROWS] @ halves for i in range(0, max(1, len(e)), 8 * PRODUCT_ROWS)])
     with np.errstate(over="ignore", invalid="ignore"):
         e = np.exp(logits)
-        total = e @ halves
+        total = sums(e)
     if not np.isfinite(total).all() or (total <= 0).any():
         for half in (logits[:, :CLASSES], logits[:, CLASSES:]):
             half -= half.max(1, keepdims=True)
         e = np.exp(logits)
-        total = e @ halves
+        total = sums(e)
     return e, total
 
 
@@ -204,7 +207,7 @@ def _softmax_parts(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None):
     target = y.take(order)
     cls, word, rows = target // PER_CLASS, CLASSES + target % PER_CLASS, np.arange(n)
     bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-    parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+    parts = [(k, slice(i, min(i + PRODUCT_ROWS, b))) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) for i in range(a, b, PRODUCT_ROWS)]
     states = np.ones((n, HIDDEN + 1), dtype=kind)
     states[:, :-1] = h.take(order, axis=0)
     logits = np.empty((n, CLASSES + PER_CLASS), dtype=kind)
@@ -221,7 +224,7 @@ def _softmax_parts(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None):
     e[rows, word] -= 1
     g, given = np.zeros_like(weights), np.empty((n, HIDDEN), dtype=kind)
     for k, at in parts:
-        np.matmul(states[at].T, e[at], out=g[k])
+        g[k] += states[at].T @ e[at]
         np.matmul(e[at], weights[k, :-1].T, out=given[at])
     grads["wc"] += g[:, :-1, :CLASSES].sum(0)
     grads["bc"] += g[:, -1, :CLASSES].sum(0)
