@@ -136,17 +136,27 @@ PARSERS = {"docx": docx_blocks, "html": lambda raw: html_blocks(raw.decode("utf-
 
 
 def parse_blocks(files: DataFrame) -> DataFrame:
-    """Block rows of files(document_id, file_type, content); types without a parser give an error row's absence of blocks.
+    """Block rows of files(document_id, file_type, content).
 
-    Further parsers (PDF, OCR, DOC) are functions bytes -> blocks added to PARSERS.
+    A file that its parser can't read, or whose type has none, or without content, is one row of kind
+    'error' with the reason as text; the other files are not touched.  Further parsers (PDF, OCR, DOC)
+    are functions bytes -> blocks added to PARSERS.
     """
 
+    def blocks(kind, raw):
+        parser = PARSERS.get(kind)
+        if parser is None or raw is None:
+            return [("error", None, "no parser" if parser is None else "no content", None)]
+        try:
+            return parser(bytes(raw))
+        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError) as e:
+            return [("error", None, f"{type(e).__name__}: {e}", None)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc, kind, raw in zip(frame["document_id"], frame["file_type"], frame["content"], strict=True):
-                parser = PARSERS.get(kind)
-                for pos, (k, level, text, rows) in enumerate(parser(bytes(raw)) if parser else ()):
+                for pos, (k, level, text, rows) in enumerate(blocks(kind, raw)):
                     out.append((doc, pos, k, level, text, rows, 0))
             made = pd.DataFrame(out, columns=["document_id", "pos", "kind", "level", "text", "rows", "page"])
             yield made.astype({"level": "Int32"})
@@ -160,5 +170,5 @@ def heading_by_style(size: Column, bold: Column, text: Column) -> Column:
 
 
 def reading_order(x: Column, y: Column, band: int = 20) -> list[Column]:
-    """Order of recognised boxes: by line band, then from left to right."""
-    return [F.round(y / band), x]
+    """Order of recognised boxes: by line band (halves go to the even band), then from left to right."""
+    return [F.bround(y / band), x]

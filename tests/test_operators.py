@@ -240,21 +240,21 @@ def plain_overlap(pieces, overlap):
     return [p if i == 0 else pieces[i - 1][-overlap:] + p for i, p in enumerate(pieces)]
 
 
-def plain_split(text, limit=1200, overlap=150):
+def plain_split(text, limit=1200, overlap=150, paragraph=r"\n", joiner="\n"):
     whole = plain_strip(text)
     if len(whole) <= limit:
         return [whole] if whole else []
     out, run = [], []
-    for p in filter(None, map(plain_strip, whole.split("\n"))):
+    for p in filter(None, map(plain_strip, re.split(paragraph, whole))):
         if len(p) <= limit:
             run.append(p)
             continue
-        out += plain_pack(run, limit, "\n")
+        out += plain_pack(run, limit, joiner)
         run = []
         packed = plain_pack([x for x in re.split(r"(?<=[.!?;。！？；])", p) if plain_strip(x)], limit, "")
         cut = [piece for x in packed for piece in ([x] if len(x) <= limit else [x[i : i + limit] for i in range(0, len(x), limit - overlap)])]
         out += plain_overlap(cut, overlap)
-    return plain_overlap(out + plain_pack(run, limit, "\n"), overlap)
+    return plain_overlap(out + plain_pack(run, limit, joiner), overlap)
 
 
 def plain_table(rows, limit=400):
