@@ -97,18 +97,27 @@ def own_content(blocks: DataFrame) -> DataFrame:
 def full_content(blocks: DataFrame, tree: DataFrame) -> DataFrame:
     """(document_id, section_id, full_content): own texts and those of the subtree, with a line for each heading below.
 
-    Headings with nothing below them are left out.  A document's lines are one array; a subtree is a slice of it.
+    Headings with nothing below them are left out.  Each line goes to its section and the sections above,
+    which are at most MAX_LEVEL, so the rows grow with the depth of the tree and not with its sections.
     """
-    lines = blocks.filter("kind <> 'image'").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("lines"))
-    texts_before = F.transform(F.col("lines"), lambda x: ((x["kind"] != "heading") & (x["text"] != "")).cast("int"))
-    joined = tree.join(lines.withColumn("filled", texts_before), "document_id")
-    first = F.array_position(F.transform("lines", lambda x: x["pos"]), F.col("pos")).cast("int")
-    until = F.when(F.col("end_pos").isNull(), F.size("lines") + 1).otherwise(F.array_position(F.transform("lines", lambda x: x["pos"]), F.col("end_pos")).cast("int"))
-    cut = joined.withColumn("_from", first).withColumn("_to", until).withColumn("_n", F.col("_to") - F.col("_from") - 1)
-    own = cut.select("document_id", "section_id", "pos", "_from", "_to", F.slice("lines", F.col("_from") + 1, F.greatest("_n", F.lit(0))).alias("body"), F.aggregate(F.slice("filled", F.col("_from") + 1, F.greatest("_n", F.lit(0))), F.lit(0), lambda s, x: s + x).alias("n_filled"))
-    empty = own.filter("n_filled = 0").groupBy("document_id").agg(F.collect_set("pos").alias("empty"))
-    kept = own.join(empty, "document_id", "left").withColumn("body", F.filter("body", lambda x: (x["text"] != "") & ((x["kind"] != "heading") | ~F.array_contains(F.coalesce("empty", F.array().cast("array<int>")), x["pos"]))))
-    return kept.select("document_id", "section_id", F.array_join("body.text", "\n").alias("full_content"))
+    by_pos = Window.partitionBy("document_id").orderBy("pos")
+    before = by_pos.rowsBetween(Window.unboundedPreceding, -1)
+    heading = F.col("kind") == "heading"
+    number = F.sum(heading.cast("int")).over(by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    lines = blocks.filter("kind <> 'image'").select("document_id", "pos", "text", heading.alias("_heading"), number.alias("_own")).filter("text <> ''")
+    # The nearest section of a smaller level for each level up to the own one: those above, from the top.
+    nearest = F.array(*(F.last(F.when(F.col("level") < k, F.col("section_id")), ignorenulls=True).over(before) for k in range(1, MAX_LEVEL + 1)))
+    # A root without heading (pos -1) takes the lines before any heading.
+    own = F.when(F.col("pos") < 0, F.lit(-1)).otherwise(F.col("section_id"))
+    paths = tree.select("document_id", "section_id", own.alias("_own"), nearest.alias("_near"), "level")
+    paths = paths.select("document_id", "section_id", "_own", F.array_distinct(F.filter(F.slice("_near", F.lit(1), F.col("level")), lambda s: s.isNotNull())).alias("_up"))
+    placed = lines.join(paths, ["document_id", "_own"])
+    body = placed.filter("NOT _heading").select("document_id", "pos", "text", F.explode(F.concat(F.array("section_id"), "_up")).alias("section_id"))
+    filled = body.select("document_id", "section_id").distinct()
+    heads = placed.filter("_heading").join(filled, ["document_id", "section_id"], "left_semi").select("document_id", "pos", "text", F.explode("_up").alias("section_id"))
+    rows = body.unionByName(heads).groupBy("document_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("rows"))
+    out = tree.select("document_id", "section_id").join(rows, ["document_id", "section_id"], "left")
+    return out.select("document_id", "section_id", F.coalesce(F.array_join("rows.text", "\n"), F.lit("")).alias("full_content"))
 
 
 def classify_titles(sections: DataFrame, rules: DataFrame, default: str = "other") -> DataFrame:

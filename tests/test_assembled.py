@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions import scalar as s
 from docloom.operators import assembly as asm
 from docloom.operators import lifecycle as lc
+from docloom.operators import structure
 from docloom.plans.catalog import QUERIES
 from docloom.sources import files
 from docloom.streaming import handlers as hd
@@ -177,3 +178,12 @@ def test_blocks_to_chunks_equal_a_plain_fold(spark, sf, tmp_path):
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     expected = {d: [(n, k, digest(c)) for n, k, c in plain_document(t)] for d, t in texts.items()}
     assert got == {d: c for d, c in expected.items() if c}
+
+
+def test_full_content_of_nulls_and_bare_documents(spark):
+    rows = [(1, 0, "paragraph", None, "before"), (1, 1, "heading", 1, "A"), (1, 2, "heading", 2, "B"), (1, 3, "paragraph", None, None), (1, 4, "heading", 2, "C"), (1, 5, "paragraph", None, "c"), (1, 6, "heading", 99, "D"), (1, 7, "image", None, "no"), (1, 8, "heading", 1, "E")]
+    rows += [(2, 0, "paragraph", None, "only"), (2, 1, "paragraph", None, ""), (2, 2, "paragraph", None, "text"), (3, 0, "image", None, "no")]
+    blocks = spark.createDataFrame(rows, "document_id long, pos int, kind string, level int, text string")
+    got = {(r.document_id, r.section_id): r.full_content for r in structure.full_content(blocks, structure.section_tree(blocks)).collect()}
+    assert got == {(1, 0): "C\nc", (1, 1): "", (1, 2): "c", (1, 3): "", (1, 4): "", (2, 0): "only\ntext", (3, 0): ""}
+    assert structure.full_content(blocks.limit(0), structure.section_tree(blocks.limit(0))).count() == 0
