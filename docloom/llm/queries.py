@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, tool_chat
+from . import exact_dedup, host_rules, mixing, tool_chat
 from .cotraining import op5_quality
 from .decontaminate import op4_decontaminate
 from .exact_dedup import op6_exact_dedup
 from .gru_lm import op8_gru_scores
+from .host_rules import op13_host_rules
 from .html_text import op7_html_text
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_gru_scores": op8_gru_scores,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
+    "op13_host_rules": op13_host_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.oracle(),
     "op2_tool_chat": tool_chat.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op13_host_rules": host_rules.ORACLE,
 }
