@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, mixing, tool_chat
+from . import ball_tree, exact_dedup, host_rules, mixing, tool_chat
+from .ball_tree import op11_ball_tree
 from .cotraining import op5_quality
 from .decontaminate import op4_decontaminate
 from .exact_dedup import op6_exact_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_gru_scores": op8_gru_scores,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
+    "op11_ball_tree": op11_ball_tree,
     "op13_host_rules": op13_host_rules,
 }
 
@@ -37,5 +39,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.oracle(),
     "op2_tool_chat": tool_chat.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op11_ball_tree": ball_tree.oracle(),
     "op13_host_rules": host_rules.ORACLE,
 }
