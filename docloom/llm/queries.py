@@ -16,6 +16,7 @@ from .host_rules import op13_host_rules
 from .html_text import op7_html_text
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
+from .spelling import op12_spelling
 from .substring_dedup import op3_substring_dedup
 from .token_counts import op10_token_counts
 from .tool_chat import op2_tool_chat
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
     "op11_ball_tree": op11_ball_tree,
+    "op12_spelling": op12_spelling,
     "op13_host_rules": op13_host_rules,
 }
 
