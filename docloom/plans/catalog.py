@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.plans import assembled, composed  # noqa: F401  (register their queries)
+from docloom.plans import assembled, composed, stored  # noqa: F401  (register their queries)
 from docloom.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "hybrid_rrf"
