@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import ingest as ig
+from docloom.operators import patterns as pt
 from docloom.plans import queries as q
 from docloom.plans import views as v
 from docloom.session import shared_path
@@ -159,3 +160,80 @@ def two_writers(spark, sf):
     out = out.join(per_section, "document_id", "left").join(per_chunk, "document_id", "left")
     zero = ["n_sections", "section_ids", "parent_ids", "n_chunks", "chunk_ids", "chunk_sections"]
     return out.fillna(0, zero).fillna("NONE", ["fast", "slow"])
+
+
+def _candidates(spark, sf) -> DataFrame:
+    """A pattern for each fourth line of every document, described by its text; types, owners and versions as they come."""
+    i = F.col("document_id")
+    d = v.d_document(spark, sf).select(F.col("id").alias("document_id"), "tenant_id", "document_type")
+    g = v.d_guard(spark, sf).select("document_id", F.col("current_index_version").alias("held"))
+    lines = v.d_lines(spark, sf).filter("pos % 4 = 0 AND trim(text) <> ''")
+    return lines.join(d, "document_id").join(g, "document_id", "left").select(
+        i, "tenant_id", (F.coalesce("held", F.lit(1)) + F.when(i % 14 == 1, 1).otherwise(0)).alias("index_version"), F.concat(F.lit("w"), F.when(i % 10 == 0, 9).otherwise(i % 3).cast("string")).alias("owner_id"),
+        "document_type", F.col("pos").cast("long").alias("section_id"), F.lit("SP").alias("code"), F.substring("text", 1, 20).alias("name"), F.col("text").alias("summary"), F.col("pos").alias("page_start"), F.col("pos").alias("page_end"),
+    )
+
+
+def _pattern_store(spark, sf) -> Store:
+    """A store whose patterns are the first lines of every fifth document, some quarantined, with running jobs."""
+    store = Store(spark, shared_path(spark, "store"), BUCKETS)
+    i = F.col("document_id")
+    lines = v.d_lines(spark, sf).filter("pos = 0 AND document_id % 5 = 0 AND trim(text) <> ''")
+    pattern = lines.select((i + 1).alias("id"), (i % 3 + 1).alias("tenant_id"), F.lit("old").alias("name"), F.sha1(F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("fingerprint"), F.when(i % 15 == 0, "quarantined").otherwise("active").alias("status"))
+    source = lines.select((i + 1).alias("pattern_id"), i, F.lit(0).cast("long").alias("section_id"))
+    jobs = _guard(spark, sf).filter("current_index_version IS NOT NULL").select("document_id", "tenant_id", F.col("current_index_version").alias("index_version"), F.when(i % 6 == 0, "PENDING").otherwise("RUNNING").alias("state"), F.concat(F.lit("w"), (i % 3).cast("string")).alias("owner_id"))
+    tables = {"guard": _guard(spark, sf), "pattern": pattern, "pattern_source": source, "job": jobs}
+    store.publish({n: tb.fitted(t, tb.TABLES[n]) for n, t in tables.items()}, tb.TABLES)
+    return store
+
+
+_STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_SAVED = f"""asked AS (
+  SELECT l.document_id, d.tenant_id, l.pos AS section_id, d.document_type, sha1({_STRIPPED}) AS fingerprint,
+   coalesce(g.current_index_version, 1) + (l.document_id % 14 = 1)::INT AS index_version, g.current_index_version AS held, g.lifecycle_status,
+   l.document_id % 10 <> 0 AND l.document_id % 6 <> 0 AS owned
+  FROM d_lines l JOIN (SELECT id, tenant_id, document_type FROM d_document) d ON d.id = l.document_id LEFT JOIN d_guard g ON g.document_id = l.document_id WHERE l.pos % 4 = 0 AND trim(l.text) <> ''),
+ gated AS (
+  SELECT *, CASE WHEN trim(document_type) IN ('tender', 'tender_doc') OR trim(document_type) NOT IN ({", ".join(f"'{t}'" for t in v.RAW_TYPES)}) THEN 'REJECT_TYPE'
+   WHEN held IS NULL OR held <> index_version OR lifecycle_status <> 'ACTIVE' OR NOT owned THEN 'REJECT_JOB' END AS refused FROM asked),
+ good AS (SELECT * FROM gated WHERE refused IS NULL),
+ old AS (
+  SELECT document_id + 1 AS id, document_id % 3 + 1 AS tenant_id, sha1({_STRIPPED}) AS fingerprint, CASE WHEN document_id % 15 = 0 THEN 'quarantined' ELSE 'active' END AS status
+  FROM d_lines WHERE pos = 0 AND document_id % 5 = 0 AND trim(text) <> ''),
+ adopted AS (SELECT tenant_id, fingerprint, min(id) AS id FROM old WHERE status = 'active' GROUP BY 1, 2),
+ firsts AS (
+  SELECT * FROM good g QUALIFY row_number() OVER (PARTITION BY tenant_id, fingerprint ORDER BY document_id, section_id) = 1),
+ fresh AS (
+  SELECT tenant_id, fingerprint, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY document_id, section_id) AS id
+  FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM adopted a WHERE a.tenant_id = f.tenant_id AND a.fingerprint = f.fingerprint)),
+ ids AS (SELECT tenant_id, fingerprint, id FROM adopted UNION ALL SELECT tenant_id, fingerprint, id FROM fresh),
+ source AS (
+  SELECT id AS pattern_id, id - 1 AS document_id, 0 AS section_id FROM old
+  UNION SELECT ids.id, g.document_id, g.section_id FROM good g JOIN ids USING (tenant_id, fingerprint)),
+ per_pattern AS (SELECT pattern_id, count(*) AS n_sources, sum(document_id)::BIGINT AS documents, sum(section_id)::BIGINT AS sections FROM source GROUP BY 1),
+ job AS (
+  SELECT CASE WHEN document_id % 6 = 0 THEN 'PENDING' WHEN document_id IN (SELECT document_id FROM good) THEN 'COMPLETED' ELSE 'RUNNING' END AS state
+  FROM d_guard WHERE current_index_version IS NOT NULL)
+SELECT 'pattern' AS kind, p.id, p.tenant_id, p.fingerprint AS what, p.status AS state, n_sources AS n, documents, sections
+FROM (SELECT * FROM old UNION ALL SELECT id, tenant_id, fingerprint, 'active' FROM fresh) p JOIN per_pattern ON pattern_id = p.id
+UNION ALL SELECT 'candidate', -1, -1, coalesce(refused, 'SAVED'), '', count(*), -1, -1 FROM gated GROUP BY refused
+UNION ALL SELECT 'job', -1, -1, 'pattern', state, count(*), -1, -1 FROM job GROUP BY state"""
+
+
+@q.query("pattern_save", v.with_views("d_document", "d_guard", "d_lines", body=_SAVED))
+def pattern_save(spark, sf):
+    """Every stored pattern after one call over all documents' candidates, what became of these, and the jobs."""
+    store = _pattern_store(spark, sf)
+    saved = pt.save(store, _candidates(spark, sf))
+    at = store.pin()
+    per = store.read("pattern_source", at, tb.PATTERN_SOURCE).groupBy("pattern_id").agg(F.count("*").alias("n"), F.sum("document_id").alias("documents"), F.sum("section_id").alias("sections"))
+    patterns = store.read("pattern", at, tb.PATTERN).join(per, F.col("id") == F.col("pattern_id")).select(F.lit("pattern").alias("kind"), "id", "tenant_id", F.col("fingerprint").alias("what"), F.col("status").alias("state"), "n", "documents", "sections")
+    none = F.lit(-1).cast("long")
+
+    def counted(rows: DataFrame, kind: str, what: F.Column, state: F.Column) -> DataFrame:
+        grouped = rows.select(what.alias("what"), state.alias("state")).groupBy("what", "state").agg(F.count("*").alias("n"))
+        return grouped.select(F.lit(kind).alias("kind"), none.alias("id"), none.alias("tenant_id"), "what", "state", "n", none.alias("documents"), none.alias("sections"))
+
+    verdict = F.when(F.col("verdict").isin(pt.INSERTED, pt.ADOPTED, pt.MERGED), "SAVED").otherwise(F.col("verdict"))
+    candidates = counted(saved.verdicts, "candidate", verdict, F.lit(""))
+    return patterns.unionByName(candidates).unionByName(counted(store.read("job", at, tb.JOB), "job", F.lit("pattern"), F.col("state")))
