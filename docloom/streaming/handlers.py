@@ -15,15 +15,20 @@ Handler = Callable[[DataFrame], DataFrame]
 
 def parse_handler(blocks: DataFrame) -> Handler:
     """Each message with the number of blocks of its document; unknown documents give no row."""
-    sizes = blocks.groupBy("document_id").agg(F.count("*").alias("n_blocks"))
-    return lambda batch: batch.join(sizes, "document_id").select("document_id", "payload", "n_blocks")
+
+    def run(batch: DataFrame) -> DataFrame:
+        asked = blocks.join(batch.select("document_id").distinct(), "document_id", "left_semi")
+        sizes = asked.groupBy("document_id").agg(F.count("*").alias("n_blocks"))
+        return batch.join(sizes, "document_id").select("document_id", "payload", "n_blocks")
+
+    return run
 
 
 def embedding_handler(chunks: DataFrame, guard: DataFrame, dim: int) -> Handler:
     """(document_id, id, embedding) of the chunks of asked documents that are active; a document is embedded once a batch."""
-    live = guard.filter("lifecycle_status = 'ACTIVE'").select("document_id")
 
     def run(batch: DataFrame) -> DataFrame:
+        live = guard.filter("lifecycle_status = 'ACTIVE'").select("document_id")
         asked = batch.select("document_id").distinct().join(live, "document_id", "left_semi")
         return chunks.join(asked, "document_id", "left_semi").select("document_id", "id", hash_embedding(F.col("content"), dim).alias("embedding"))
 
