@@ -4,10 +4,12 @@ Element subtrees are hashed bottom-up (tag, class, id, text, children), counted
 deleted where they recur on many pages of the host: at least ``TEMPLATE_PAGES`` pages and
 ``TEMPLATE_SHARE`` of the host's pages.  What holds the article itself never counts as template (page,
 article and main elements, and paragraphs, headings, list items and the like within an article), so
-sentences that many articles share stay.
+sentences that many articles share stay; a page without such an element loses them.
 
 From the rest, the article element (else main, else body) is read without menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments, told by tag, role, class and id.
+sidebars, notices, adverts, forms, scripts, styles and reader comments, told by tag, role and whole class and id
+names.  Names that an article may give to its own parts (a notice, a reply) count outside articles only, and within them
+where most of the text is links.  Of several articles beside each other the one with the h1 is read, else the longest.
 
 Templates are sent to the tasks when at most ``BROADCAST_TEMPLATES`` of them (8 bytes each); beyond that
 pages and templates are joined by a shuffle of (page, subtree) pairs and of the pages.
@@ -61,13 +63,31 @@ ENDS_SELF = {
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption table tbody thead tfoot tr td th".split())
 DROP_TAGS = frozenset("script style nav footer aside form noscript template iframe svg button select textarea head dialog menu search object embed canvas title".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-DROP_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies newsletter subscribe subscription social share sharing related popup modal overlay widget login signup toolbar pagination skip".split()
-)
+#: Class and id words of what is no article text wherever it stands, in any element.
+STRONG_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle sponsored comment comments disqus cookie cookies gdpr newsletter breadcrumb breadcrumbs navbar sidebar footer".split())
+#: Words that an article may use for its own parts too: they count outside articles, and within them where most of the text is links.
+WEAK_NAMES = frozenset("sponsor promo promotion banner consent notice notices alert menu nav navigation reply replies responses subscribe subscription social share sharing related popup modal overlay widget login signup toolbar pagination pager skip".split())
+#: Words that only say where or what kind of box; a name is telling if all its words are of these lists and one is of the two above.
+BOX_NAMES = frozenset("site page main post article blog entry top bottom left right header head inner outer wrapper wrap container content contents box block body section area region list items item thread link links button buttons icons bar row col column slot unit group panel form text title main primary secondary global sticky fixed js posts articles stories story more read reading latest".split())
 #: Dropped outside articles only: articles have headers of their own, with their title.
 DROP_OUTSIDE = frozenset("header masthead topbar".split())
 
 
+def telling(tokens: frozenset[str]) -> tuple[bool, bool]:
+    """Whether a whole class or id names what is no article, by a strong and by a weak word.
+
+    "comment-list" and "site-footer" do; "share-price-table" and "related-work" have a word that is neither of a box
+    nor in the lists, so they name something of the article's own.
+    """
+    strong = weak = False
+    for token in tokens:
+        words = [w for x in _NAMES.split(token) if (w := x.rstrip("0123456789"))]
+        if words and all(w in STRONG_NAMES or w in WEAK_NAMES or w in BOX_NAMES for w in words):
+            strong |= any(w in STRONG_NAMES for w in words)
+            weak |= any(w in WEAK_NAMES for w in words)
+    return strong, weak
+
+
 def _tag_end(source: str, at: int, doomed: set[int]) -> int:
     """End of the start tag whose attributes begin at ``at``: behind the next > outside quotes, or behind any > if there is none.
 
@@ -199,12 +219,12 @@ class Page:
         text(at, len(source))
 
     def named(self, node: int) -> tuple[frozenset, str, bool]:
-        """Words of class and id, role, hidden."""
+        """Class and id tokens, role, hidden."""
         rest = self.attributes[node]
         if not rest.strip():
             return frozenset(), "", False
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
-        names = frozenset(_NAMES.split(f"{found.get('class', '')} {found.get('id', '')}".lower())) - {""}
+        names = frozenset(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
         hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
         return names, found.get("role", "").strip().lower(), hidden
 
@@ -229,21 +249,57 @@ class Page:
             hashes[i] = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
         return {i: hashes[i] for i in range(1, n) if filled[i] and self.tags[i] in BLOCK and self.tags[i] not in ("html", "body", "article", "main") and not (in_article[i] and self.tags[i] in CONTENT)}
 
+    def linked(self) -> list[bool]:
+        """Whether more than half of an element's characters are in links."""
+        n = len(self.tags)
+        all_chars, link_chars = [0] * n, [0] * n
+        for _, node, words in self.texts:
+            all_chars[node] += len("".join(words.split()))
+        for i in range(n - 1, 0, -1):
+            if self.tags[i] == "a":
+                link_chars[i] = all_chars[i]
+            all_chars[self.parents[i]] += all_chars[i]
+            link_chars[self.parents[i]] += link_chars[i]
+        return [2 * k > c for k, c in zip(link_chars, all_chars, strict=True)]
+
+    def main_article(self, articles: list[int], dropped: list[bool]) -> list[int]:
+        """The longest of the articles that have an h1, or of all where none has one.
+
+        Teasers of other articles, and comments that nothing names, are beside it.
+        """
+        if len(articles) < 2:
+            return articles
+        n = len(self.tags)
+        of, chars, headed = [0] * n, dict.fromkeys(articles, 0), set()
+        for i in range(1, n):
+            of[i] = i if i in chars else of[self.parents[i]]
+            if self.tags[i] == "h1" and of[i] and not dropped[i]:
+                headed.add(of[i])
+        for _, node, words in self.texts:
+            if of[node] and not dropped[node]:
+                chars[of[node]] += len("".join(words.split()))
+        return [max(headed or articles, key=lambda i: (chars[i], -i))]
+
     def main_text(self, templates: set[int]) -> str:
         """Blocks of the article; ``templates`` are elements to leave out."""
         n = len(self.tags)
         dropped, inside = [False] * n, [False] * n
         roots: dict[str, list[int]] = {"article": [], "main": [], "body": []}
+        linked = self.linked()
         for i in range(1, n):
             tag, parent = self.tags[i], self.parents[i]
             inside[i] = inside[parent] or tag == "article"
             drop = dropped[parent] or tag in DROP_TAGS or i in templates
-            if not drop and tag not in ("html", "body", "article", "main"):
+            if not drop and tag not in ("html", "body", "main"):
                 names, role, hidden = self.named(i)
-                drop = hidden or role in DROP_ROLES or bool(names & DROP_NAMES) or (not inside[i] and (tag == "header" or bool(names & DROP_OUTSIDE)))
+                strong, weak = telling(names)
+                own = tag in CONTENT or tag == "article"
+                drop = hidden or role in DROP_ROLES or strong or (weak and not own and (not inside[i] or linked[i]))
+                drop = drop or (not inside[i] and (tag == "header" or bool(names & DROP_OUTSIDE)))
             dropped[i] = drop
-            if tag in roots and not drop:
+            if tag in roots and not drop and not (tag == "article" and inside[parent]):
                 roots[tag].append(i)
+        roots["article"] = self.main_article(roots["article"], dropped)
         chosen = next((roots[t] for t in ("article", "main", "body") if roots[t]), [0])
         wanted = [False] * n
         for i in chosen:
