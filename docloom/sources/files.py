@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -75,7 +76,8 @@ def docx_blocks(raw: bytes) -> list[tuple]:
     body = root.find(f"{_W}body")
     for e in body if body is not None else ():
         if e.tag == f"{_W}tbl":
-            out.append(("table", None, "", [["\n".join(text(p) for p in c.iter(f"{_W}p")) for c in r.findall(f"{_W}tc")] for r in e.findall(f"{_W}tr")]))
+            cells = lambda r: ["\n".join(filter(None, (text(p).strip() for p in c.iter(f"{_W}p")))) for c in r.findall(f"{_W}tc")]
+            out.append(("table", None, "", [cells(r) for r in e.findall(f"{_W}tr")]))
         elif e.tag == f"{_W}p":
             words = text(e).strip()
             if not words:
@@ -93,46 +95,115 @@ def docx_blocks(raw: bytes) -> list[tuple]:
     return out
 
 
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements that begin and end a block; text in none of them is a paragraph of its own.
+_BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()) | set(_HEADINGS)
+_NO_TEXT = frozenset("script style title template noscript".split())
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
 class _Html(HTMLParser):
+    """All text of a page as blocks: headings, list items, tables with their cells, and paragraphs for the rest."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.kind, self.level, self.text, self.skip = [], None, None, [], 0
+        self.out, self.open, self.text, self.skip = [], [], [], 0
+        self.tables, self.rows = 0, []  # a table in a table gives its text to the cell
 
     def flush(self):
-        words = " ".join("".join(self.text).split())
-        if words and self.kind:
-            self.out.append((self.kind, self.level, words, None))
-        self.kind, self.level, self.text = None, None, []
+        raw, self.text = "".join(self.text), []
+        words = raw.strip("\r\n").rstrip() if "pre" in self.open else " ".join(raw.split())
+        if not words.strip():
+            return
+        if self.tables and self.rows and self.rows[-1]:
+            cell = self.rows[-1]
+            cell[-1] = f"{cell[-1]}\n{words}" if cell[-1] else words
+            return
+        kind = next((t for t in reversed(self.open) if t in _HEADINGS or t in ("li", "table")), None)
+        if kind in _HEADINGS:
+            self.out.append(("heading", int(kind[1]), words, None))
+        else:
+            self.out.append(("list" if kind == "li" else "paragraph", None, words, None))
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
+        if tag in _NO_TEXT:
             self.skip += 1
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.flush()
-            self.kind, self.level = "heading", int(tag[1])
-        elif tag in ("p", "li"):
-            self.flush()
-            self.kind = "list" if tag == "li" else "paragraph"
+        if tag == "br":
+            self.text.append("\n" if "pre" in self.open else " ")
+        if tag not in _BLOCK:
+            return
+        self.flush()
+        if tag in ("p", *_HEADINGS) or (tag == "li" and "li" in self.open and not {"ul", "ol"} & set(self.open[len(self.open) - self.open[::-1].index("li") :])):
+            self.leave("li" if tag == "li" else "p")
+        if tag == "table":
+            self.tables += 1
+        elif tag == "tr" and self.tables == 1:
+            self.rows.append([])
+        elif tag in ("td", "th") and self.tables == 1:
+            if not self.rows:
+                self.rows.append([])
+            self.rows[-1].append("")
+        if tag not in _VOID:
+            self.open.append(tag)
+
+    def leave(self, tag):
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
+        if tag in _NO_TEXT:
             self.skip = max(0, self.skip - 1)
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"):
-            self.flush()
+        if tag not in _BLOCK:
+            return
+        self.flush()
+        self.leave(tag)
+        if tag == "table" and self.tables:
+            self.tables -= 1
+            if not self.tables:
+                self.end_table()
+
+    def end_table(self):
+        rows, self.rows = [r for r in self.rows if r], []
+        if rows:
+            self.out.append(("table", None, "", rows))
 
     def handle_data(self, data):
-        if not self.skip and self.kind:
+        if not self.skip:
             self.text.append(data)
 
+    def close_all(self):
+        """The end of a page, which may be broken off."""
+        HTMLParser.close(self)
+        self.flush()
+        self.end_table()
+
 
 def html_blocks(source: str) -> list[tuple]:
+    """(kind, level, text, rows) of the whole page; no text outside scripts, styles and the like is left out."""
     parser = _Html()
     parser.feed(source)
-    parser.flush()
+    parser.close_all()
     return parser.out
 
 
-PARSERS = {"docx": docx_blocks, "html": lambda raw: html_blocks(raw.decode("utf-8", "replace"))}
+def text_blocks(source: str) -> list[tuple]:
+    """Paragraphs of a plain text, parted by blank lines."""
+    parts = ("\n".join(x.rstrip() for x in p.splitlines()).strip("\n") for p in re.split(r"\n[ \t\r\f\v]*\n", source))
+    return [("paragraph", None, p, None) for p in parts if p.strip()]
+
+
+PARSERS = {"docx": docx_blocks, "html": lambda raw: html_blocks(raw.decode("utf-8", "replace")), "txt": lambda raw: text_blocks(raw.decode("utf-8", "replace"))}
+
+
+def blocks_of(kind: str | None, raw: bytes | None) -> list[tuple]:
+    """A file's blocks; one of kind 'error' with the reason where it can't be read, whatever its parser met."""
+    parser = PARSERS.get(kind)
+    if parser is None or raw is None:
+        return [("error", None, "no parser" if parser is None else "no content", None)]
+    try:
+        return parser(bytes(raw))
+    except Exception as e:
+        return [("error", None, f"{type(e).__name__}: {e}", None)]
 
 
 def parse_blocks(files: DataFrame) -> DataFrame:
@@ -143,20 +214,11 @@ def parse_blocks(files: DataFrame) -> DataFrame:
     are functions bytes -> blocks added to PARSERS.
     """
 
-    def blocks(kind, raw):
-        parser = PARSERS.get(kind)
-        if parser is None or raw is None:
-            return [("error", None, "no parser" if parser is None else "no content", None)]
-        try:
-            return parser(bytes(raw))
-        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError) as e:
-            return [("error", None, f"{type(e).__name__}: {e}", None)]
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc, kind, raw in zip(frame["document_id"], frame["file_type"], frame["content"], strict=True):
-                for pos, (k, level, text, rows) in enumerate(blocks(kind, raw)):
+                for pos, (k, level, text, rows) in enumerate(blocks_of(kind, raw)):
                     out.append((doc, pos, k, level, text, rows, 0))
             made = pd.DataFrame(out, columns=["document_id", "pos", "kind", "level", "text", "rows", "page"])
             yield made.astype({"level": "Int32"})
