@@ -51,7 +51,18 @@ def retried(call: Callable, tries: int = 3, wait: float = 1.0, on: tuple[type[Ex
             time.sleep(wait * 2**k)
 
 
-def _batched(factory: Callable[[], Callable], returns, batch: int):
+def _lenient(model: Callable, texts: list) -> list:
+    """Answers to all texts; where the batch fails, one by one, with null for a text that fails alone too."""
+    try:
+        return list(retried(lambda: model(texts)))
+    except Exception:
+        if len(texts) == 1:
+            return [None]
+        return [answer for text in texts for answer in _lenient(model, [text])]
+
+
+def _batched(factory: Callable[[], Callable], returns, batch: int, lenient: bool = False):
+    """``lenient``: a text that the model fails on is null, instead of failing the task and all its rows."""
     name = model_name(factory)
 
     @F.pandas_udf(returns)
@@ -61,7 +72,7 @@ def _batched(factory: Callable[[], Callable], returns, batch: int):
             texts, out = part.fillna("").tolist(), []
             for i in range(0, len(texts), batch):
                 piece = texts[i : i + batch]
-                out += list(retried(lambda piece=piece: model(piece)))
+                out += _lenient(model, piece) if lenient else list(retried(lambda piece=piece: model(piece)))
             yield pd.Series(out, index=part.index)
 
     return run
@@ -76,8 +87,8 @@ def embed(rows: DataFrame, text: str, factory: Callable[[], Callable], batch: in
 
 
 def complete(rows: DataFrame, prompt: Column, factory: Callable[[], Callable], name: str = "answer", batch: int = BATCH) -> DataFrame:
-    """Adds a model's answer to each prompt."""
-    return rows.withColumn(name, _batched(factory, StringType(), batch)(prompt))
+    """Adds a model's answer to each prompt, null where the model fails."""
+    return rows.withColumn(name, _batched(factory, StringType(), batch, lenient=True)(prompt))
 
 
 ITEM = "struct<title: string, text: string, page: string, section: string, score: string>"
