@@ -6,6 +6,7 @@ Spark runs as a bounded heap per task, so ranks are only computed over the k row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.context import TenantContext
 from docloom.functions.scalar import cosine
+from docloom.operators.vectors import search_many
 
 ACTIVE = "ACTIVE"
 RRF_K = 60
@@ -39,12 +41,51 @@ def vector_search(rows: DataFrame, query: Column, k: int = TOP_K) -> DataFrame:
     return scored.filter("similarity IS NOT NULL").orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def vector_search_many(rows: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """``vector_search`` for every row of queries(query_id, query): each query's k nearest, with query_id."""
-    pairs = rows.filter("embedding IS NOT NULL").crossJoin(F.broadcast(queries))
-    scored = pairs.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query")), 6)).filter("similarity IS NOT NULL").drop("query")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("_n", best).filter(F.col("_n") <= k).drop("_n")
+def vector_search_many(rows: DataFrame, queries: DataFrame, k: int = TOP_K, dim: int | None = None) -> DataFrame:
+    """``vector_search`` for every row of queries(query_id, query): each query's k nearest, with query_id and the rows' columns.
+
+    ``dim`` is that of the longest query where it isn't given.
+    """
+    if dim is None:
+        dim = queries.agg(F.max(F.size("query"))).first()[0] or 1
+    best = search_many(rows, queries, dim, k)
+    return best.join(rows.drop("embedding", "similarity"), "id")
+
+
+WORD_EDGE = r"[^\p{L}\p{N}]+"
+BM25_K, BM25_B = 1.2, 0.75
+
+
+def terms(text: Column) -> Column:
+    """Words of a text in lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_EDGE), lambda w: w != "")
+
+
+def _equals(word: str) -> Callable[[Column], Column]:
+    return lambda x: x == word
+
+
+def bm25(corpus: DataFrame, text: str, query: Sequence[str]) -> Callable[[Column], Column]:
+    """A scorer of texts against the query's words by BM25, with the statistics of the whole corpus.
+
+    One row of numbers comes to the driver: texts, words, and the texts that have each word of the query.
+    """
+    words = list(dict.fromkeys(w.lower() for w in query))
+    listed = corpus.select(terms(F.col(text)).alias("_t"))
+    row = listed.agg(F.count("*").alias("n"), F.sum(F.size("_t")).alias("words"), *(F.count(F.when(F.array_contains("_t", w), 1)).alias(f"d{i}") for i, w in enumerate(words))).first()
+    n, mean = row.n, (row.words or 0) / row.n if row.n else 0.0
+
+    def score(body: Column) -> Column:
+        listed = terms(body)
+        size = F.size(listed) / F.lit(mean or 1.0)
+        total = F.lit(0.0)
+        for i, w in enumerate(words):
+            idf = math.log(1 + (n - row[f"d{i}"] + 0.5) / (row[f"d{i}"] + 0.5))
+            times = F.size(F.filter(listed, _equals(w))).cast("double")
+            total = total + F.lit(idf) * times * (BM25_K + 1) / (times + BM25_K * (1 - BM25_B + BM25_B * size))
+        return F.round(total, 6)
+
+    return score
 
 
 def keyword_search(rows: DataFrame, words: str, k: int = TOP_K, wildcards: bool = True) -> DataFrame:

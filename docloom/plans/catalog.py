@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.plans import assembled, composed, folders, models, stored, streams  # noqa: F401  (register their queries)
+from docloom.plans import assembled, audited, composed, folders, models, stored, streams  # noqa: F401  (register their queries)
 from docloom.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "hybrid_rrf"
