@@ -11,8 +11,9 @@ call takes.  Messages stay rows of their own and are not gathered into one value
 may have any length; (conv_id, level, turn) is the topological order.
 
 Turns order calls whenever all calls point back to earlier turns; then level is 0.  Only conversations
-in which a call uses a later one are peeled level by level.  Calls on a cycle have no level and the
-problem 'cycle'.
+in which a call uses a later one are ordered by levels: a chain of calls takes the logarithm of its length in
+jobs, calls that use several others are settled level by level.  Calls on a cycle, or that use one of it, have no
+level and the problem 'cycle'.
 
 Identical rows are counted as one before anything is joined and written out again at the end, so copies of a
 conversation never meet each other; all joins have at most one row per identifier on one side, and identifiers
@@ -32,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_spread, materialise, table
+from .common import join_spread, materialise, release, table
 
 BROADCAST_TOOLS = 10_000
 #: Copies of one row that one task writes out.
@@ -82,21 +83,56 @@ def _levels(calls: DataFrame) -> DataFrame | None:
     ids = materialise(calls.join(forward, at, "left_semi").select(_conv_key().alias("conv_id"), "call_id").distinct(), "chat-open")
     edges = uses.join(forward, at, "left_semi").select(_conv_key().alias("conv_id"), "call_id", "dep").distinct()
     edges = edges.join(ids.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi")
-    open_calls, open_edges = ids, materialise(edges, "chat-edges")
-    done, level = None, 0
-    while True:
-        blocked = open_edges.select("conv_id", "call_id").distinct()
-        free = materialise(open_calls.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "chat-free")
+    edges = materialise(edges, "chat-edges")
+    levels = _topological_levels(ids, edges)
+    release(met, ids, edges)
+    return levels
+
+
+def _topological_levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, cyclic) of ids(conv_id, call_id) over edges(conv_id, call_id, dep).
+
+    A call that uses one other call has a pointer to it; pointers are doubled until they end at a call that uses none
+    or several, so a chain of any length takes the logarithm of its length.  Only calls that use several are settled
+    level by level, with the chains between them as lengths.  What is never settled is on a cycle, or uses one.
+    """
+    key = ["conv_id", "call_id"]
+    uses = edges.groupBy(*key).agg(F.count("*").alias("n_uses"), F.min("dep").alias("dep"))
+    at = uses.filter("n_uses = 1").select("conv_id", "call_id", F.col("dep").alias("base"), F.lit(1).cast("long").alias("steps"))
+    chains = materialise(at.withColumn("moved", F.lit(True)), "chat-chains")
+    rounds, n = 0, chains.count()
+    while n and (1 << rounds) <= 2 * n:
+        on = chains.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("at"), F.col("base").alias("next"), F.col("steps").alias("more"))
+        doubled = chains.join(on, (F.col("conv_id") == F.col("c2")) & (F.col("base") == F.col("at")), "left")
+        doubled = materialise(doubled.select(*key, F.coalesce("next", "base").alias("base"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")), "chat-chains")
+        release(chains)
+        chains, rounds = doubled, rounds + 1
+        if chains.filter("moved").isEmpty():
+            break
+    # A pointer that still moves after as many doublings as there are calls goes round a cycle.
+    ends = chains.filter("NOT moved").select(F.col("conv_id").alias("c3"), F.col("call_id").alias("dep3"), "base", "steps")
+    several = edges.join(uses.filter("n_uses > 1").select(*key), key, "left_semi")
+    several = several.join(ends, (F.col("conv_id") == F.col("c3")) & (F.col("dep") == F.col("dep3")), "left")
+    open_edges = materialise(several.select(*key, F.coalesce("base", "dep").alias("base"), F.coalesce("steps", F.lit(0)).alias("steps")), "chat-several")
+    settled = materialise(ids.join(uses.select(*key), key, "left_anti").withColumn("level", F.lit(0).cast("long")), "chat-settled")
+    while not open_edges.isEmpty():
+        known = settled.select(F.col("conv_id").alias("c4"), F.col("call_id").alias("id4"), "level")
+        met = open_edges.join(known, (F.col("conv_id") == F.col("c4")) & (F.col("base") == F.col("id4")), "left")
+        free = met.groupBy(*key).agg(F.bool_and(F.col("level").isNotNull()).alias("free"), (F.max(F.col("level") + F.col("steps")) + 1).alias("level")).filter("free").drop("free")
+        free = materialise(free, "chat-free")
         if free.isEmpty():
+            release(free)
             break
-        done = free if done is None else done.unionByName(free)
-        open_calls = materialise(open_calls.join(free, ["conv_id", "call_id"], "left_anti"), "chat-open")
-        open_edges = materialise(open_edges.join(free.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"), "chat-edges")
-        level += 1
-    cyclic = open_calls.select("conv_id", "call_id", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic"))
-    if done is None:
-        return cyclic
-    return done.withColumn("cyclic", F.lit(False)).unionByName(cyclic)
+        left = materialise(open_edges.join(free, key, "left_anti"), "chat-several")
+        more = materialise(settled.unionByName(free), "chat-settled")
+        release(open_edges, settled, free)
+        open_edges, settled = left, more
+    bases = settled.select(F.col("conv_id").alias("c5"), F.col("call_id").alias("id5"), F.col("level").alias("below"))
+    chained = chains.filter("NOT moved").join(bases, (F.col("conv_id") == F.col("c5")) & (F.col("base") == F.col("id5"))).select(*key, (F.col("below") + F.col("steps")).alias("level"))
+    levels = ids.join(settled.unionByName(chained), key, "left").select(*key, F.col("level").cast("int").alias("level"), F.col("level").isNull().alias("cyclic"))
+    out = materialise(levels, "chat-levels")
+    release(chains, open_edges, settled)
+    return out
 
 
 def _conv_key() -> F.Column:
