@@ -7,14 +7,16 @@ tables of the index are only filtered and semi-joined.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.context import TenantContext
 from docloom.operators import evidence as ev
+from docloom.operators import extraction as ex
+from docloom.operators import fanout as fo
 from docloom.operators import retrieval as rt
 
 FACT_K = 5
@@ -116,3 +118,78 @@ def run(index: Index, tenant: TenantContext, asked: Request, deduplicate: bool =
         "context": ev.evidence_blocks(texts, ["layer"], ["rank"], F.coalesce("content", F.lit(""))),
         "trace": reduce(DataFrame.unionByName, parts),
     }
+
+
+@dataclass(frozen=True)
+class Question:
+    """A user's question: its words, the rules of its intent, and what it says or brings of a tender.
+
+    ``requirements`` and ``scores`` are rows (item_no, title, text, page); ``tender`` is the tender's text, one row (text),
+    from which what is not given is extracted by the models ``extract`` and ``extract_scores``.
+    """
+
+    text: str
+    rules: DataFrame
+    task_words: Sequence[str] = ()
+    requirements: DataFrame | None = None
+    scores: DataFrame | None = None
+    tender: DataFrame | None = None
+    extract: Callable[[], Callable] | None = None
+    extract_scores: Callable[[], Callable] | None = None
+    score_marks: Sequence[str] = ()
+
+
+ITEM = "item_no int, title string, text string, page int"
+#: Layers of the material that a model gets, in this order; the others are for the caller.
+MATERIAL = ("requirement", "score", "evidence", "enterprise_fact")
+
+
+def resolved(question: Question, given: DataFrame | None, factory: Callable[[], Callable] | None) -> DataFrame:
+    """Given rows, if there are any; else those that a model finds in the tender's text; else none."""
+    spark = question.rules.sparkSession
+    none = spark.createDataFrame([], ITEM)
+    if given is not None and not given.isEmpty():
+        return given.select("item_no", "title", "text", "page")
+    if question.tender is None or factory is None:
+        return none
+    answers = ex.complete(question.tender.select("text"), F.col("text"), factory, "_answer")
+    return ex.records(answers.select("_answer"), F.col("_answer"), []).select("item_no", "title", "text", "page")
+
+
+def item_lines(items: DataFrame, layer: str) -> DataFrame:
+    """(layer, text): items by number, one line each, with title and page where they are filled."""
+    head = F.concat(F.row_number().over(Window.orderBy("item_no", "text")).cast("string"), F.lit(". "))
+    title = F.when(F.coalesce("title", F.lit("")) != "", F.concat("title", F.lit(": "))).otherwise("")
+    page = F.when(F.col("page").isNotNull(), F.concat(F.lit(" (page "), F.col("page").cast("string"), F.lit(")"))).otherwise("")
+    lines = items.select(F.concat(head, title, "text", page).alias("_l"), F.row_number().over(Window.orderBy("item_no", "text")).alias("_n"))
+    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_l"))), lambda x: x["_l"]), "\n").alias("text"))
+    return text.filter("text <> ''").select(F.lit(layer).alias("layer"), "text")
+
+
+def material(layers: DataFrame, question: str) -> DataFrame:
+    """(prompt): layers(layer, text) in the order of ``MATERIAL`` under their names, then the question."""
+    place = F.array_position(F.array(*map(F.lit, MATERIAL)), F.col("layer"))
+    part = F.struct(place.alias("_n"), F.concat(F.lit("## "), "layer", F.lit("\n"), "text").alias("_t"))
+    joined = layers.filter(place > 0).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["_t"]), "\n\n").alias("_all"))
+    head = F.when(F.col("_all") != "", F.concat("_all", F.lit("\n\n"))).otherwise("")
+    return joined.select(F.concat(head, F.lit(f"## question\n{question}")).alias("prompt"))
+
+
+def ask(index: Index, tenant: TenantContext, question: Question, asked: Request, generate: Callable[[], Callable], deduplicate: bool = True, expand: bool = True) -> dict[str, DataFrame]:
+    """``run`` with the question's intent and requirements, and the answer of a model to all of it.
+
+    Pattern types that are asked for win over those of the intent.  Adds intent (domains, pattern_types, task),
+    requirements, scores, prompt (prompt) and answer (answer, error; a failed call has a null answer).  What
+    is gathered here belongs to one request: top-k results, and items of one tender.
+    """
+    spark = question.rules.sparkSession
+    one = spark.createDataFrame([(question.text,)], "question string")
+    intent = rt.classify_queries(one, question.rules, question.task_words).select("domains", "pattern_types", "task")
+    types = asked.pattern_types or tuple(intent.first().pattern_types)
+    out = run(index, tenant, replace(asked, pattern_types=types), deduplicate, expand)
+    scores = resolved(question, question.scores, question.extract_scores)
+    requirements = ex.without_score_rows(resolved(question, question.requirements, question.extract), list(question.score_marks))
+    layers = item_lines(requirements, "requirement").unionByName(item_lines(scores, "score")).unionByName(out["context"].select("layer", F.col("evidence").alias("text")))
+    prompt = material(layers, question.text)
+    answer = fo.fan_out(prompt, F.col("prompt"), generate).select("answer", "error")
+    return out | {"intent": intent, "requirements": requirements, "scores": scores, "prompt": prompt, "answer": answer}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docloom.operators import doctypes as dt
 from docloom.operators import ingest as ig
 from docloom.operators import rag
 from docloom.plans import queries as q
@@ -145,3 +147,64 @@ def guarded_delete(spark, sf):
     done = ig.delete_documents(asked, v.d_guard(spark, sf), chunks, v.d_pattern(spark, sf).select("id"), v.d_pattern_source(spark, sf), q._jobs(spark, sf))
     jobs = done.jobs.groupBy("state").agg(F.count("*").alias("n")).select(F.concat(F.lit("jobs "), "state").alias("name"), "n")
     return done.counters.unionByName(jobs)
+
+
+QUESTION = "How to plan for keit and ouan?"
+#: What the rules say to the question.
+_ASKED_TYPES = [t for _, _, words, types in q.INTENTS if any(w in QUESTION.lower() for w in words) for t in types]
+_MARK = "tion"
+_SCORES = [(1, "Price", "forty points", 3), (2, "", "sixty points", None)]
+
+
+def requirement_reader():
+    """A stand-in that takes every line of some length as a requirement, with its number as page."""
+    import json
+
+    def read(text: str) -> str:
+        lines = [(n, x) for n, x in enumerate(text.split("\n")) if len(x) >= 20]
+        return json.dumps([{"title": f"R{n}", "text": x[:50], "page": str(n)} for n, x in lines])
+
+    return lambda texts: [read(t) for t in texts]
+
+
+def counting_writer():
+    """A stand-in whose answer says how long the prompt was, and in how many lines."""
+    return lambda prompt: f"answer to {len(prompt)} in {prompt.count(chr(10))}"
+
+
+_TENDER = f"""tender AS (SELECT min(id) AS id FROM d_document WHERE tenant_id = 1 AND {q._TYPE_SQL} = 'tender'),
+ item AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS item_no, pos, regexp_replace(left(text, 50), '^\\s+|\\s+$', '', 'g') AS text FROM d_lines WHERE document_id = (SELECT id FROM tender) AND length(text) >= 20),
+ requirement AS (SELECT row_number() OVER (ORDER BY item_no) AS n, 'R' || pos AS title, text, pos AS page FROM item WHERE NOT contains(text, '{_MARK}') AND text <> '')"""
+_ANSWERED = f"""material AS (
+  SELECT 1 AS place, 'requirement' AS layer, string_agg(n || '. ' || title || ': ' || text || ' (page ' || page || ')', chr(10) ORDER BY n) AS text FROM requirement HAVING count(*) > 0
+  UNION ALL SELECT 2, 'score', '1. Price: forty points (page 3)' || chr(10) || '2. sixty points'
+  UNION ALL SELECT CASE layer WHEN 'evidence' THEN 3 ELSE 4 END, layer, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY rank)
+   FROM (SELECT 'evidence' AS layer, rank, content FROM evidence UNION ALL SELECT 'enterprise_fact', rank, content FROM fact) GROUP BY layer),
+ prompt AS (SELECT string_agg('## ' || layer || chr(10) || text, chr(10) || chr(10) ORDER BY place) || chr(10) || chr(10) || '## question' || chr(10) || '{QUESTION}' AS prompt FROM material)
+SELECT 'answer' AS kind, 'answer to ' || length(prompt) || ' in ' || length(regexp_replace(prompt, '[^\n]', '', 'g')) AS text, -1 AS id FROM prompt
+UNION ALL SELECT 'prompt', sha256(prompt), -1 FROM prompt
+UNION ALL SELECT 'intent', 'schedule,security: {",".join(dict.fromkeys(_ASKED_TYPES))}', -1
+UNION ALL SELECT 'requirement', title, n FROM requirement
+UNION ALL SELECT 'pattern', '', id FROM pattern"""
+
+
+@q.query("rag_answer", v.with_views("d_chunk", "d_lines", *q._PV, body=f"{_CHANNELS}, {q._ALLOWED}, {_FOUND.replace(str(TYPED)[1:-1], str(_ASKED_TYPES)[1:-1])}, {_TENDER}, {_ANSWERED}"))
+def rag_answer(spark, sf):
+    """One question with its intent, the requirements of a tender, retrieval, prompt and answer."""
+    chunks = v.d_chunk(spark, sf).withColumn("section_id", F.floor(F.col("chunk_index") / 4) + 1)
+    sections = q._tree(spark, sf).select("document_id", F.col("section_id").alias("id"), "parent_id")
+    documents = v.d_document(spark, sf)
+    index = rag.Index(chunks, v.d_guard(spark, sf), documents.drop("text"), sections, v.d_pattern(spark, sf), v.d_pattern_source(spark, sf))
+    tender = documents.filter((F.col("tenant_id") == 1) & dt.is_excluded(F.col("document_type"))).orderBy("id").limit(1).select("text")
+    rules = spark.createDataFrame(q.INTENTS, "rule_order int, domain string, keywords array<string>, pattern_types array<string>")
+    question = rag.Question(QUESTION, rules, q.TASK_WORDS, scores=spark.createDataFrame(_SCORES, rag.ITEM), tender=tender, extract=requirement_reader, score_marks=[_MARK])
+    asked = rag.Request(q._query_vector(spark, sf), q.KEYWORD, pattern_document_types=q._SCOPE, fact_types=FACTS)
+    done = rag.ask(index, q.TENANT, question, asked, counting_writer, expand=False)
+    none = F.lit(-1).cast("long").alias("id")
+    intent = done["intent"].select(F.lit("intent").alias("kind"), F.concat(F.array_join("domains", ","), F.lit(": "), F.array_join("pattern_types", ",")).alias("text"), none)
+    n = F.row_number().over(Window.orderBy("item_no", "text")).cast("long").alias("id")
+    items = done["requirements"].select(F.lit("requirement").alias("kind"), F.col("title").alias("text"), n)
+    patterns = done["patterns"].select(F.lit("pattern").alias("kind"), F.lit("").alias("text"), "id")
+    answer = done["answer"].select(F.lit("answer").alias("kind"), F.col("answer").alias("text"), none)
+    prompt = done["prompt"].select(F.lit("prompt").alias("kind"), F.sha2("prompt", 256).alias("text"), none)
+    return answer.unionByName(prompt).unionByName(intent).unionByName(items).unionByName(patterns)
