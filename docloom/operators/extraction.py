@@ -79,11 +79,18 @@ def _batched(factory: Callable[[], Callable], returns, batch: int, lenient: bool
 
 
 def embed(rows: DataFrame, text: str, factory: Callable[[], Callable], batch: int = BATCH) -> DataFrame:
-    """Adds embedding: one call per distinct stripped text, joined back."""
+    """Adds embedding: one call per distinct stripped text, joined back.
+
+    Blank texts, which may be many rows, share one vector, which is broadcast instead of joined by its key.
+    """
     udf = _batched(factory, ArrayType(FloatType()), batch)
-    keyed = rows.withColumn("_key", F.sha2(strip(F.coalesce(F.col(text), F.lit(""))), 256))
-    distinct = keyed.groupBy("_key").agg(F.first(strip(F.coalesce(F.col(text), F.lit("")))).alias("_text"))
-    return keyed.join(distinct.withColumn("embedding", udf("_text")).drop("_text"), "_key").drop("_key")
+    plain = strip(F.coalesce(F.col(text), F.lit("")))
+    keyed = rows.withColumn("_key", F.when(plain != "", F.sha2(plain, 256)))
+    distinct = keyed.groupBy("_key").agg(F.first(plain).alias("_text")).withColumn("embedding", udf("_text")).drop("_text")
+    filled = keyed.filter("_key IS NOT NULL").join(distinct.filter("_key IS NOT NULL"), "_key").drop("_key")
+    one = F.broadcast(distinct.filter("_key IS NULL").select(F.lit("").alias("_key"), "embedding"))
+    blank = keyed.filter("_key IS NULL").withColumn("_key", F.lit("")).join(one, "_key").drop("_key")
+    return filled.unionByName(blank)
 
 
 def complete(rows: DataFrame, prompt: Column, factory: Callable[[], Callable], name: str = "answer", batch: int = BATCH) -> DataFrame:
