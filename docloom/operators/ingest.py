@@ -191,10 +191,10 @@ def _replaced(store: Store, now: Version, applied: DataFrame, embedded: Embedded
     def old(name: str) -> DataFrame:
         return store.read(name, now, tb.TABLES[name], touched)
 
-    def staged(name: str, rows: DataFrame) -> Staged:
-        return store.stage(name, tb.fitted(rows, tb.TABLES[name]), tb.TABLES[name], touched)
+    def staged(name: str, rows: DataFrame) -> tuple:
+        return tb.fitted(rows, tb.TABLES[name]), tb.TABLES[name], touched
 
-    def with_new(name: str, rows: DataFrame) -> Staged:
+    def with_new(name: str, rows: DataFrame) -> tuple:
         new = tb.fitted(rows.drop(*(c for c in stamp.columns if c != "document_id")).join(stamp, "document_id"), tb.TABLES[name])
         return staged(name, old(name).join(ids, "document_id", "left_anti").select(*new.columns).unionByName(new))
 
@@ -211,13 +211,8 @@ def _replaced(store: Store, now: Version, applied: DataFrame, embedded: Embedded
     kept = tuple(c for c in about.columns if c not in ("id", "status"))
     documents = lc.upsert(store.read("document", now, tb.DOCUMENT, touched), about, "id", keep=kept)
     jobs = lc.obsolete_jobs(old("job"), guard)
-    return {
-        "section": with_new("section", sections),
-        "chunk": with_new("chunk", numbered),
-        "guard": staged("guard", guard),
-        "document": staged("document", documents),
-        "job": staged("job", jobs),
-    }
+    new = {"section": with_new("section", sections), "chunk": with_new("chunk", numbered)}
+    return store.stage_all(new | {"guard": staged("guard", guard), "document": staged("document", documents), "job": staged("job", jobs)})
 
 
 def ingest_in_phases(store: Store, requests: DataFrame, sections: DataFrame, chunks: DataFrame, factory: Callable[[], Callable], dim: int, tries: int = 5) -> Finished:

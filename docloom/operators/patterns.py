@@ -97,8 +97,8 @@ def _merged(store: Store, now: Version, good: DataFrame, merge: bool) -> tuple[D
     same = (F.col("pattern_id") == F.col("_p")) & (F.col("document_id") == F.col("_d")) & F.col("section_id").eqNullSafe(F.col("_s"))
     done = known.select(*_JOB, F.lit(None).cast("string").alias("error")).distinct()
     jobs = lc.finish_jobs(store.read("job", now, tb.JOB, documents), done)
-    return known, {
-        "pattern": store.stage("pattern", stored.unionByName(new), tb.PATTERN, prints),
-        "pattern_source": store.stage("pattern_source", had.unionByName(sources.join(again, same, "left_anti")), tb.PATTERN_SOURCE, documents),
-        "job": store.stage("job", jobs, tb.JOB, documents),
-    }
+    return known, store.stage_all({
+        "pattern": (stored.unionByName(new), tb.PATTERN, prints),
+        "pattern_source": (had.unionByName(sources.join(again, same, "left_anti")), tb.PATTERN_SOURCE, documents),
+        "job": (jobs, tb.JOB, documents),
+    })

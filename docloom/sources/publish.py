@@ -18,6 +18,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -172,6 +173,12 @@ class Store:
                 raise Violation(table, {"key": twice}, f"{self.root}/{folder}")
         return Staged(folders, frozenset(range(self.buckets)) if touched is None else frozenset(touched), found["_id"] + 1)
 
+    def stage_all(self, tables: Mapping[str, tuple[DataFrame, Stored | None, Iterable[int] | None]]) -> dict[str, Staged]:
+        """``stage`` of several tables at once: their jobs share the cluster instead of waiting for each other."""
+        with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+            made = {name: pool.submit(self.stage, name, *args) for name, args in tables.items()}
+            return {name: future.result() for name, future in made.items()}
+
     def commit(self, base: Version, changes: Mapping[str, Staged]) -> Version:
         """Publish staged folders as the version after ``base``; tables and buckets not named keep theirs."""
         folders, next_ids = dict(base.folders), dict(base.next_ids)
@@ -189,7 +196,7 @@ class Store:
     def publish(self, tables: Mapping[str, DataFrame], stored: Mapping[str, Stored] | None = None) -> Version:
         """Whole tables as the next version."""
         base = self.pin()
-        return self.commit(base, {name: self.stage(name, df, (stored or {}).get(name)) for name, df in tables.items()})
+        return self.commit(base, self.stage_all({name: (df, (stored or {}).get(name), None) for name, df in tables.items()}))
 
 
 def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]) -> int:
