@@ -7,6 +7,7 @@ import os
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from docloom.operators import fanout as fo
 from docloom.operators import regeneralise as rg
 from docloom.operators import relations as rl
 from docloom.operators import trigram as tg
+from docloom.plans import models
 from docloom.sources import tables as tb
 from docloom.sources.publish import Store
 
@@ -224,3 +226,36 @@ def test_candidates_are_few(spark):
     index = tg.build(df)
     n = {r.word_id: r["count"] for r in tg.candidates(words, index).groupBy("word_id").count().collect()}
     assert n[0] <= 5 and n[1] == 500
+
+
+def test_search_shuffles_no_postings_and_counts_equal_words_once(spark, tmp_path):
+    texts = {i: f"line of {i % 7} the\nthe end\n{'ÄB' * (i % 3)}" for i in range(0, 400)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("doc_id", "text", "'src1' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    made = models.substring_search(spark, str(tmp_path))
+    lines = {k * 100000 + p: x.lower() for k, t in texts.items() for p, x in enumerate(t.split("\n"))}
+    want = {}
+    for k in range(0, 400, 50):
+        word = (texts[k][4:13] if k % 100 else "line").lower()
+        hits = [i for i, x in lines.items() if word in x]
+        want[k] = (len(hits), min(hits), max(hits))
+    assert {r.word_id: tuple(r)[1:] for r in made.collect()} == want
+    df = spark.createDataFrame(list(lines.items()), "id long, content string")
+    words = spark.createDataFrame([(k, w) for k, w in enumerate(["the", "ne of 3 t", "äb", "e"] * 20)], "word_id long, word string")
+    found = tg.search(words, df, tg.build(df, block=50), word_chars=60)
+    assert found.count() == 20 * sum(w in x for w in ("the", "ne of 3 t", "äb", "e") for x in lines.values())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_postings_of_large_alphabets_equal_those_of_small_ones(spark):
+    texts = ["".join(chr(0x100 + (i * 37 + j * 11) % 3000) for j in range(50)) for i in range(40)] + ["", "ab", "\U0010ffff" * 4]
+    codes, ends, places = tg._postings(texts)
+    got = {c: set(places[a:b].tolist()) for c, a, b in zip(codes.tolist(), [0, *ends[:-1]], ends, strict=True)}
+    want = {}
+    for p, t in enumerate(texts):
+        for k in range(len(t) - 2):
+            want.setdefault(ord(t[k]) << 42 | ord(t[k + 1]) << 21 | ord(t[k + 2]), set()).add(p)
+    assert got == want and list(codes) == sorted(want)
+    few = ["".join(map(chr, range(0x20000, 0x20000 + 60_000)))] + [""] * 60_000
+    codes, ends, places = tg._postings(few)
+    assert len(codes) == len(places) == 59_998 and not places.any() and (np.diff(codes) > 0).all()
