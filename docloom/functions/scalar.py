@@ -40,6 +40,11 @@ def cache_key(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("\n", *parts)), 1, 16)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_embedding(text: Column, dim: int) -> Column:
     """A deterministic unit vector: the first MD5 byte of "text:i" for each dimension, centred and normalised."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.conv(F.substring(F.md5(F.concat(text, F.lit(":"), i.cast("string"))), 1, 2), 16, 10).cast("double") - 128.0) / 128.0)
@@ -52,8 +57,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector over its length; a zero vector stays as it is."""
-    length = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+    scaled = lambda raw, length: F.transform(raw, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+    # Both are used for every component: neither may be computed again for each.
+    return let(v, lambda raw: let(F.sqrt(dot(raw, raw)), lambda length: scaled(raw, length)))
 
 
 def cosine(a: Column, b: Column) -> Column:

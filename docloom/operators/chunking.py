@@ -8,18 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.scalar import strip
+from docloom.functions.scalar import let, strip
 
 MAX_CHARS = 1200
 OVERLAP = 150
 SENTENCE_END = r"(?<=[.!?;。！？；])"
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def greedy_pack(parts: Column, max_chars: int, joiner: str) -> Column:
     """Array of parts to array of pieces: a part joins the piece before it while that stays within max_chars."""
     start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))

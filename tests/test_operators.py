@@ -334,3 +334,11 @@ def test_many_searches_break_ties_and_drop_zero_vectors(spark):
     asked = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 3.0]), (100, [0.0, 0.0])], "query_id long, query array<double>")
     out = sorted((r.query_id, -r.similarity, r.id) for r in rt.vector_search_many(rows, asked, 2).collect())
     assert out == [(0, -1.0, 1), (0, -1.0, 2), (50, -1.0, 3), (50, 0.0, 1)]
+
+
+def test_hash_embeddings_are_computed_once(spark):
+    rows = spark.range(3).select(F.col("id").cast("string").alias("t"))
+    plan = rows.select(s.hash_embedding(F.col("t"), 16).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.count("SQRT(") == 1
+    zero = spark.range(1).select(s.unit(F.array(F.lit(0.0), F.lit(0.0))).alias("z"), s.unit(F.lit(None).cast("array<double>")).alias("n")).first()
+    assert zero == ([0.0, 0.0], None)
