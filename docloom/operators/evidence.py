@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 HISTORY = 12
+#: Ids that a digest's piece joins.
+PIECE = 4096
 CONTENT_CHARS, PREVIEW_CHARS, SOURCE_CHARS, SNIPPET_CHARS = 3000, 600, 200, 500
 
 
@@ -64,6 +70,57 @@ def trace_rows(hits: DataFrame, group: Sequence[str], *ids: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def _runs(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, the other fields of its rows), of sorted rows with ``width`` columns of keys: at most ``most`` rows at once."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (row[:width] != key or len(held) == most):
+                yield key, held
+                held = []
+            key = row[:width]
+            held.append(row[width:])
+    if held:
+        yield key, held
+
+
+def trace_digests(hits: DataFrame, group: Sequence[str], *ids: str) -> DataFrame:
+    """(group, kind, n, digest) of the distinct ids: SHA-256 of the sorted ids with commas between.
+
+    Ids are sorted and joined by ranges; the digest of a group, which is one after the other by nature, reads a row for
+    each ``PIECE`` ids and holds none of them.
+    """
+    rows = trace_rows(hits, group, *ids)
+    keys = [*group, "kind"]
+    width = len(keys)
+    fields = rows.schema.fields
+    pieces = StructType([*fields, StructField("n", LongType()), StructField("joined", StringType())])
+    digests = StructType([*fields[:width], StructField("n", LongType()), StructField("digest", StringType())])
+    piece_schema, digest_schema = to_arrow_schema(pieces), to_arrow_schema(digests)
+
+    def batch(schema: pa.Schema, *row) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema=schema)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _runs(batches, width, PIECE):
+            yield batch(piece_schema, *key, held[0][0], len(held), ",".join(str(x) for (x,) in held))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, made = None, 0, None
+        for key, ((_, size, text),) in _runs(batches, width, 1):
+            if made is not None and key != last:
+                yield batch(digest_schema, *last, n, made.hexdigest())
+                n, made = 0, None
+            made = made or hashlib.sha256()
+            made.update((("," if n else "") + text).encode())
+            last, n = key, n + size
+        if made is not None:
+            yield batch(digest_schema, *last, n, made.hexdigest())
+
+    made = rows.repartitionByRange(*keys, "id").sortWithinPartitions(*keys, "id").mapInArrow(join, pieces)
+    return made.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(digest, digests)
+
+
 def source_list(hits: DataFrame, order: Sequence[Column | str], chars: int = SOURCE_CHARS) -> DataFrame:
     """The cut result as numbered sources with score and preview."""
     rank = F.row_number().over(Window.orderBy(*order))

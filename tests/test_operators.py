@@ -14,6 +14,7 @@ from docloom.context import TenantContext, TenantError
 from docloom.functions import scalar as s
 from docloom.operators import chunking as ck
 from docloom.operators import doctypes as dt
+from docloom.operators import evidence as ev
 from docloom.operators import extraction as ex
 from docloom.operators import lifecycle as lc
 from docloom.operators import retrieval as rt
@@ -342,3 +343,14 @@ def test_hash_embeddings_are_computed_once(spark):
     assert plan.count("md5(") == 1 and plan.count("SQRT(") == 1
     zero = spark.range(1).select(s.unit(F.array(F.lit(0.0), F.lit(0.0))).alias("z"), s.unit(F.lit(None).cast("array<double>")).alias("n")).first()
     assert zero == ([0.0, 0.0], None)
+
+
+def test_trace_digests_are_of_all_ids_in_order(spark):
+    rows = [(k % 3 or None, (k * 7919) % 20_011 - 50) for k in range(30_000)] + [(5, 7), (5, 7), (6, None)]
+    hits = spark.createDataFrame(rows, "g long, doc long")
+    got = {r.g: (r.n, r.digest) for r in ev.trace_digests(hits, ["g"], "doc").collect()}
+    want = {}
+    for g in {g for g, _ in rows} - {6}:
+        ids = sorted({d for h, d in rows if h == g})
+        want[g] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert got == want
