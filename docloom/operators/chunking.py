@@ -78,35 +78,65 @@ def markdown_row(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))), " | "), F.lit(" |"))
 
 
+def _rule(head: Column) -> Column:
+    return F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(head)))
+
+
 def markdown_table(rows: Column) -> Column:
     """Rows (array of arrays) as a pipe table, the first row as its head."""
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.get(rows, F.lit(0)))))
-    return F.when(F.size(rows) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.array(markdown_row(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, F.lit(2), F.size(rows)), markdown_row)), "\n"))
+
+    def whole(held: Column) -> Column:
+        head = F.get(held, F.lit(0))
+        return F.array_join(F.concat(F.array(markdown_row(head), _rule(head)), F.transform(F.slice(held, F.lit(2), F.size(held)), markdown_row)), "\n")
+
+    return let(rows, lambda held: F.when(F.size(held) == 0, F.lit("")).otherwise(whole(held)))
+
+
+def _row_groups(rows: Column, max_chars: int) -> Column:
+    """Array of (first, length): the body rows of each group, packed by the length of their joined cells with the head's."""
+    kind = "array<struct<first: int, length: int>>"
+
+    def fold(sizes: Column) -> Column:
+        start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("length"), F.get(sizes, F.lit(0)).alias("n"), F.array().cast(kind).alias("out"))
+        group = lambda s: F.struct(s["first"].alias("first"), s["length"].alias("length"))
+
+        def step(s, size):
+            fits = (s["n"] + size <= max_chars) | (s["length"] == 0)
+            return F.struct(
+                F.when(fits, s["first"]).otherwise(s["first"] + s["length"]).alias("first"),
+                F.when(fits, s["length"] + 1).otherwise(1).alias("length"),
+                F.when(fits, s["n"] + size).otherwise(F.get(sizes, F.lit(0)) + size).alias("n"),
+                F.when(fits, s["out"]).otherwise(F.concat(s["out"], F.array(group(s)))).alias("out"),
+            )
+
+        return F.aggregate(F.slice(sizes, F.lit(2), F.size(sizes)), start, step, lambda s: F.when(s["length"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array(group(s)))))
+
+    return let(F.transform(rows, lambda r: F.length(F.array_join(r, " "))), fold)
 
 
 def pack_table(rows: Column, max_chars: int) -> Column:
     """Array of row groups: the head repeated, body rows packed by the length of their joined cells."""
-    head = F.get(rows, F.lit(0))
-    size = lambda r: F.length(F.array_join(r, " "))
-    kind = "array<array<array<string>>>"
-    start = F.struct(F.array().cast("array<array<string>>").alias("cur"), size(head).alias("n"), F.array().cast(kind).alias("out"))
 
-    def step(s, r):
-        fits = (s["n"] + size(r) <= max_chars) | (F.size(s["cur"]) == 0)
-        return F.struct(
-            F.when(fits, F.concat(s["cur"], F.array(r))).otherwise(F.array(r)).alias("cur"),
-            F.when(fits, s["n"] + size(r)).otherwise(size(head) + size(r)).alias("n"),
-            F.when(fits, s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"]))).alias("out"),
-        )
+    def groups(held: Column) -> Column:
+        return F.transform(_row_groups(held, max_chars), lambda g: F.concat(F.slice(held, F.lit(1), F.lit(1)), F.slice(held, g["first"] + 2, g["length"])))
 
-    groups = F.aggregate(F.slice(rows, F.lit(2), F.size(rows)), start, step, lambda s: F.when(F.size(s["cur"]) == 0, s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"]))))
-    return F.transform(groups, lambda g: F.concat(F.array(head), g))
+    return let(rows, groups)
 
 
 def table_chunks(rows: Column, max_chars: int = MAX_CHARS) -> Column:
     """The whole table if it fits, else one markdown table per row group."""
-    whole = markdown_table(rows)
-    return F.when(F.size(rows) == 0, F.array().cast("array<string>")).when(F.length(whole) <= max_chars, F.array(whole)).otherwise(F.transform(pack_table(rows, max_chars), markdown_table))
+
+    def parts(held: Column, lines: Column) -> Column:
+        # Each row is written out once; groups join the lines of theirs after those of the head.
+        head = F.concat(F.get(lines, F.lit(0)), F.lit("\n"), _rule(F.get(held, F.lit(0))), F.lit("\n"))
+        one = lambda head: F.transform(_row_groups(held, max_chars), lambda g: F.concat(head, F.array_join(F.slice(lines, g["first"] + 2, g["length"]), "\n")))
+        return let(head, one)
+
+    def chunks(held: Column) -> Column:
+        many = let(F.transform(held, markdown_row), lambda lines: parts(held, lines))
+        return F.when(F.size(held) == 0, F.array().cast("array<string>")).otherwise(let(markdown_table(held), lambda whole: F.when(F.length(whole) <= max_chars, F.array(whole)).otherwise(many)))
+
+    return let(rows, chunks)
 
 
 def list_text(items: Column, ordered: Column) -> Column:

@@ -354,3 +354,15 @@ def test_trace_digests_are_of_all_ids_in_order(spark):
         ids = sorted({d for h, d in rows if h == g})
         want[g] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
     assert got == want
+
+
+def test_a_table_of_many_rows_is_read_once(spark):
+    rows = F.transform(F.split("t", "\n"), lambda x: F.split(x, " "))
+    lines = ["head of it", *(f"cell {i} " + "x" * (i % 90) for i in range(20_000))]
+    df = spark.createDataFrame([("\n".join(lines),), ("one row of a long head " * 30,), ("",)], "t string")
+    out = df.select(ck.table_chunks(rows, 400).alias("c"), ck.pack_table(rows, 400).alias("p"))
+    assert out.select("c")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    for (t,), r in zip(df.collect(), out.collect(), strict=True):
+        table = [x.split(" ") for x in t.split("\n")]
+        assert r.c == plain_table(table)
+        assert sum(len(g) - 1 for g in r.p) == len(table) - 1 and all(g[0] == table[0] for g in r.p)
