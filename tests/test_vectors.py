@@ -62,3 +62,18 @@ def test_bm25_equals_plain_formula(spark):
             total += math.log(1 + (len(texts) - d + 0.5) / (d + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words) / mean))
         assert got[i] == pytest.approx(total, abs=1e-6)
     assert rt.rerank(df.limit(0), F.col("content"), rt.bm25(df.limit(0), "content", query), 9).count() == 0
+
+
+def test_a_task_holds_what_its_queries_keep():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    queries, rows = rng.normal(size=(20_000, 4)), rng.normal(size=(4096, 4))
+    best = vectors._Best(queries, 10)
+    tracemalloc.start()
+    for at in range(0, len(rows), 512):
+        best.add(np.arange(at, at + 512), rows[at : at + 512])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(q) for q, _, _ in best.blocks()) == 200_000
+    assert peak < 60 << 20
