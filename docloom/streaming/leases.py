@@ -96,8 +96,9 @@ class _Leases(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events: list[tuple] = []
         for frame in rows:
-            owners = (None if pd.isna(o) else o for o in frame["owner_id"])
-            events += zip((pd.Timestamp(t).floor("ms").to_pydatetime() for t in frame["at"]), frame["kind"], owners, strict=True)
+            moments = pd.DatetimeIndex(frame["at"]).floor("ms").to_pydatetime()
+            owners = frame["owner_id"].astype(object).where(frame["owner_id"].notna(), None)
+            events += zip(moments, frame["kind"], owners, strict=True)
         before = self._held()
         after, changes = fold(before, events, self.lease)
         self._put(before, after)

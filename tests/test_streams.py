@@ -146,3 +146,28 @@ def test_leases_end_without_a_message(spark, tmp_path):
     got = sorted(repr(tuple(r)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == plain_jobs(events, lease, now)
     assert sum("'PENDING'" in r for r in got) > 3
+
+
+def test_events_of_a_frame_are_read_at_once(monkeypatch):
+    import pandas as pd
+
+    class Job:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        getValueState = lambda self, *a: Job()  # noqa: E731, N815
+        registerTimer = deleteTimer = lambda self, ms: None  # noqa: E731, N815
+
+    frame = pd.DataFrame({"at": pd.to_datetime(["2024-01-01 00:00:00.0019", "2024-01-01 00:00:01"], format="ISO8601"), "kind": ["CLAIM", "CLAIM"], "owner_id": [None, "w"]})
+    kept = leases._Leases(60)
+    kept.init(Handle())
+    monkeypatch.setattr(leases.pd, "Timestamp", None)
+    out = pd.concat(kept.handleInputRows((1, 2, 3), iter([frame]), None))
+    monkeypatch.undo()
+    assert out["state"].tolist() == ["RUNNING", "HELD"] and out["owner_id"].tolist() == [None, "w"]
+    assert out["at"].tolist() == [pd.Timestamp("2024-01-01 00:00:00.001"), pd.Timestamp("2024-01-01 00:00:01")]
