@@ -171,3 +171,54 @@ def test_events_of_a_frame_are_read_at_once(monkeypatch):
     monkeypatch.undo()
     assert out["state"].tolist() == ["RUNNING", "HELD"] and out["owner_id"].tolist() == [None, "w"]
     assert out["at"].tolist() == [pd.Timestamp("2024-01-01 00:00:00.001"), pd.Timestamp("2024-01-01 00:00:01")]
+
+
+class StateOfOneKey(dict):
+    """A map state in memory that counts what it is asked."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def iterator(self):
+        self.calls += 1
+        return iter(self.items())
+
+
+@pytest.mark.parametrize("segment", [memory.SEGMENT, 3], ids=["as it is", "small segments"])
+def test_memory_is_not_asked_text_by_text(monkeypatch, segment):
+    import hashlib
+
+    import pandas as pd
+
+    monkeypatch.setattr(memory, "SEGMENT", segment)
+    states: dict[str, StateOfOneKey] = {}
+    calls: list[str] = []
+
+    class Handle:
+        getMapState = lambda self, name, *a: states.setdefault(name, StateOfOneKey())  # noqa: E731, N815
+
+    def model(texts):
+        calls.extend(texts)
+        return [[float(t), *[0.5] * (int(t) % 3)] for t in texts]
+
+    def frames(*parts):
+        for part in parts:
+            yield pd.DataFrame({"c0": list(part), "plain": [str(i) for i in part], "digest": [hashlib.sha256(str(i).encode()).digest() for i in part], "page": 1})
+
+    got = []
+    for batch in ([range(1500), range(1000, 2500)], [[7], [2500, 7, 2500]], [range(3000)]):
+        kept = memory._Remembering(lambda: model, f"packed-{segment}", 32)
+        kept.init(Handle())
+        got += [(i, list(v)) for out in kept.handleInputRows((1,), frames(*batch), None) for i, v in zip(out["c0"], out["embedding"], strict=True)]
+    assert sorted(calls, key=int) == [str(i) for i in range(3000)]
+    assert len(got) == 6004 and all(v == [float(i), *[0.5] * (i % 3)] for i, v in got)
+    assert sum(s.calls for s in states.values()) < 10 * 3000 / segment
