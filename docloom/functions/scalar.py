@@ -7,12 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE_SPACE = r"^\s+|\s+$"
+_SPACE = " \t\n\r\f\v"
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end (trim() only knows spaces)."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Without white space at either end (trim() alone only knows spaces; a regular expression is several times slower)."""
+    return F.trim(c, F.lit(_SPACE))
 
 
 def first_filled(*cols: Column) -> Column:

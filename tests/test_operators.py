@@ -237,6 +237,15 @@ def plain_strip(text):
     return text.strip(" \t\n\r\f\v")
 
 
+def test_strip_takes_white_space_off_both_ends_and_nothing_else(spark):
+    texts = ["", " ", " \t\n\r\f\v", "\v a\tb \n", "a \u2028", "a\t\u0085", "\u00a0 a \u00a0", "a \n\u2029", "\na\n\n", "a" + " " * 40 + "b", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", s.strip(F.col("t")).alias("x"))
+    assert {r.i: r.x for r in rows.collect()} == {i: None if t is None else plain_strip(t) for i, t in enumerate(texts)}
+    # A search from every run of white space costs several times the text.
+    assert "regexp" not in rows._jdf.queryExecution().toString()
+
+
+
 def plain_overlap(pieces, overlap):
     return [p if i == 0 else pieces[i - 1][-overlap:] + p for i, p in enumerate(pieces)]
 
