@@ -18,19 +18,21 @@ from docloom.operators import extraction as ex
 from docloom.operators.lifecycle import ERROR_CHARS
 
 WORKERS = 4
-#: Rows that wait for a thread at most, so that a batch of long prompts is not queued as a whole.
-QUEUED = 64
+def in_order(pool: ThreadPoolExecutor, call: Callable, items: list, queued: int = WORKERS) -> Iterator:
+    """``call`` of each item, in the order of the items, with at most ``queued`` of them handed to the pool.
 
+    The threads take the next item by themselves: one that is handed over and fetched by itself costs more than a quick call.
+    """
+    out: list = [None] * len(items)
+    places = iter(range(len(items)))
+
+    def run() -> None:
+        for i in places:
+            out[i] = call(items[i])
 
-def in_order(pool: ThreadPoolExecutor, call: Callable, items: list, queued: int = QUEUED) -> Iterator:
-    """``call`` of each item, in the order of the items, with at most ``queued`` of them handed to the pool."""
-    waiting: list = []
-    for item in items:
-        waiting.append(pool.submit(call, item))
-        if len(waiting) >= queued:
-            yield waiting.pop(0).result()
-    for future in waiting:
-        yield future.result()
+    for future in [pool.submit(run) for _ in range(min(queued, len(items)))]:
+        future.result()
+    yield from out
 
 
 def fan_out(rows: DataFrame, prompt: Column, factory: Callable[[], Callable], name: str = "answer", error: str = "error", workers: int = WORKERS, tasks: int | None = None, tries: int = 3, wait: float = 1.0) -> DataFrame:
@@ -58,7 +60,7 @@ def fan_out(rows: DataFrame, prompt: Column, factory: Callable[[], Callable], na
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                answers, errors = zip(*in_order(pool, call, batch.column(place).to_pylist()), strict=True)
+                answers, errors = zip(*in_order(pool, call, batch.column(place).to_pylist(), workers), strict=True)
                 columns = [batch.column(i) for i in range(place)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(answers, pa.string()), pa.array(errors, pa.string())], [*names, name, error])
 

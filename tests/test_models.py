@@ -86,6 +86,22 @@ def test_fan_out_keeps_order():
     assert out == list(range(100))
 
 
+def test_threads_take_items_by_themselves():
+    from concurrent.futures import ThreadPoolExecutor
+
+    class Counting(ThreadPoolExecutor):
+        handed = 0
+
+        def submit(self, *args):
+            self.handed += 1
+            return super().submit(*args)
+
+    with Counting(4) as pool:
+        assert list(fo.in_order(pool, lambda x: x * 2, list(range(5000)), 4)) == list(range(0, 10000, 2))
+        assert pool.handed <= 4
+        assert list(fo.in_order(pool, str, [], 4)) == []
+
+
 def test_retries():
     tried = []
 
@@ -171,6 +187,18 @@ def test_relations_equal_a_plain_fold(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == plain_relations(sets, unfenced, 8, 30)
 
 
+def test_buckets_of_a_run_are_published_together(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    store = Store(spark, str(tmp_path / "store"), 4)
+    rows = [(i, 1, "p", f"f{i}", f"text {i}") for i in range(40)]
+    start = store.publish({"pattern": tb.fitted(spark.createDataFrame(rows, "id long, tenant_id long, name string, fingerprint string, content string"), tb.PATTERN)}, tb.TABLES)
+    done = rg.fill(store, "pattern", tb.PATTERN, "content", "generalized_content", logging_model(str(log), str.upper), "a")
+    assert (done.sent, done.filled, done.buckets, done.version.number) == (40, 40, 4, start.number + 1)
+    assert {r.id: r.generalized_content for r in store.read("pattern", store.pin(), tb.PATTERN).collect()} == {i: f"TEXT {i}" for i in range(40)}
+    assert sorted(c[0] for c in calls(log)) == sorted(f"text {i}" for i in range(40))
+
+
 def test_a_broken_run_goes_on_without_asking_twice(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
