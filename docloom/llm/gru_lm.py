@@ -36,15 +36,16 @@ UNKNOWN, END = 0, 1
 STEPS = 24
 ROUNDS = 4
 RATE = 0.01
-TRAINER_TOKENS = 400_000
 #: Beyond so many trainers each takes more documents, in blocks of BLOCK_TOKENS (but for a single longer document).
 MOST_TRAINERS = 128
 BLOCK_TOKENS = 2_000_000
+#: A block takes as many steps as its longest document, so a trainer gets a whole one: half a block would fill half the lanes.
+TRAINER_TOKENS = BLOCK_TOKENS
 #: Few enough lanes and rows in one product that BLAS does it in one thread: more only spin beside Spark's other tasks.
 SCORE_LANES, TRAIN_LANES = 256, 256
 PRODUCT_ROWS = 224
-#: Tokens that a task scores at once, but for a single longer document.
-SCORE_TOKENS = 2_000_000
+#: Words that a task gathers for scoring, and tokens that it scores at once, but for a single longer document.
+GATHERED_WORDS, SCORE_TOKENS = 1_500_000, 2_000_000
 SEGMENTS = 16
 
 
@@ -296,17 +297,22 @@ def train_documents(flat: np.ndarray, docs: list[np.ndarray], rate: float, lanes
     mean, square, step, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
     for t in range(0, len(y), STEPS):
         window = slice(t, t + STEPS)
-        states, h, cache = _forward(p, x[window], first[window], h)
-        target = y[window].ravel()
-        used = target >= 0
-        if not used.any():
+        # Lanes end at different steps: those past their end are left out.
+        live = (y[window] >= 0).any(0)
+        if not live.any():
             break
+        columns = slice(None) if live.all() else np.flatnonzero(live)
+        inputs, starts = x[window][:, columns], first[window][:, columns]
+        states, last, cache = _forward(p, inputs, starts, h[columns])
+        h[columns] = last
+        target = y[window][:, columns].ravel()
+        used = target >= 0
         g = np.zeros_like(flat)
         grads = unpack(g)
         _, dh = _softmax_parts(p, states.reshape(-1, HIDDEN)[used], target[used], grads)
         d = np.zeros((len(target), HIDDEN), dtype=np.float32)
         d[used] = dh
-        _backward(p, x[window], first[window], cache, d.reshape(states.shape), grads)
+        _backward(p, inputs, starts, cache, d.reshape(states.shape), grads)
         n = int(used.sum())
         g /= n
         seen += n
@@ -409,7 +415,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "n_unknown": np.bincount(of, weights=ids == UNKNOWN, minlength=len(counts)),
         }
 
-    out = sum_per_document(docs, words, ["lc", "known"], id_col, text_col, lower_words, extra=network, extra_cols=("network", "inside", "n_unknown"))
+    out = sum_per_document(docs, words, ["lc", "known"], id_col, text_col, lower_words, extra=network, extra_cols=("network", "inside", "n_unknown"), gathered=GATHERED_WORDS)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
     n_tokens = F.col("n_words") + 1
     base = F.col("lc") + F.lit(float(np.log10(n_docs + 1.0))) - n_tokens * F.lit(float(np.log10(n + v + 1.0)))

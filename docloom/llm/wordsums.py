@@ -73,13 +73,14 @@ def frequent_values(words: DataFrame, value_cols: list[str], limit: int = FREQUE
     return dict(zip(rows["word"], range(len(values)), strict=False)), values
 
 
-def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], id_col: str = "doc_id", text_col: str = "text", split: Splitter = ascii_words, limit: int = FREQUENT_WORDS, extra: Callable[[np.ndarray, np.ndarray], dict] | None = None, extra_cols: tuple[str, ...] = ()) -> DataFrame:
+def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], id_col: str = "doc_id", text_col: str = "text", split: Splitter = ascii_words, limit: int = FREQUENT_WORDS, extra: Callable[[np.ndarray, np.ndarray], dict] | None = None, extra_cols: tuple[str, ...] = (), gathered: int | None = None) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_words`` and, for each value column, the sum over the row's words.
 
     ``words`` has word, n and the value columns (double); words that it lacks count as 0.
     Repeated ids stay separate rows: rows are told apart by their place in the scan.
     ``extra`` gets the numbers (see ``frequent_values``) of all words of some texts, one text after another, and
-    how many each text has; it returns the double columns ``extra_cols``.
+    how many each text has; it returns the double columns ``extra_cols``.  Texts are gathered until they have
+    ``gathered`` words (``SUM_WORDS`` without it).
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent_values(words, value_cols, limit))
@@ -117,7 +118,7 @@ def sum_per_document(docs: DataFrame, words: DataFrame, value_cols: list[str], i
                 rest_words += others.keys()
                 rest_times += others.values()
                 ends.append(len(rest_words))
-            if size > SUM_WORDS:
+            if size > (gathered or SUM_WORDS):
                 yield record(*parts)
                 parts, size = ([], [], [], [], [], [], [0]), 0
         if parts[0]:

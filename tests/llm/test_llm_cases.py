@@ -206,6 +206,17 @@ def test_trainer_blocks_hold_all_tokens(monkeypatch):
     assert gru_lm.train_blocks(flat, iter([]), 0.01)[1] == 0
 
 
+def test_training_leaves_out_lanes_past_their_end(monkeypatch):
+    texts, cells = [np.full(n, 5, dtype=np.int32) for n in (2000, *[100] * 18)], []
+    real = gru_lm._forward
+    monkeypatch.setattr(gru_lm, "_forward", lambda p, x, *rest: (cells.append(x.size), real(p, x, *rest))[1])
+    flat = gru_lm.start_parameters(np.ones(gru_lm.VOCABULARY))
+    out, seen = gru_lm.train_documents(flat, texts, 0.01)
+    assert seen == 3800 and seen <= sum(cells) < 1.1 * seen and np.isfinite(out).all()
+    # A trainer's lanes are as full as a block's.
+    assert gru_lm.TRAINER_TOKENS >= gru_lm.BLOCK_TOKENS
+
+
 def test_network_gradients():
     rng = np.random.Generator(np.random.PCG64(1))
     flat = (gru_lm.start_parameters(np.ones(gru_lm.VOCABULARY)) + rng.standard_normal(sum(int(np.prod(s)) for s in gru_lm._shapes().values())) * 0.1).astype(np.float64)
