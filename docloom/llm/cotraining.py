@@ -46,7 +46,7 @@ SIGNIFICANT = 4.0
 THRESHOLD = 0.5
 
 
-@lru_cache(maxsize=1 << 17)
+@lru_cache(maxsize=1 << 14)
 def _slot(word: bytes) -> int:
     return zlib.crc32(word) % WORD_SLOTS
 

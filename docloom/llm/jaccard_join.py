@@ -212,19 +212,23 @@ def _pack(batch: int, keys: np.ndarray, bands_: np.ndarray, sizes: np.ndarray, s
     distinct entry goes to its bucket once; entries of several classes are listed for the batch itself.
     """
     out = [(-1 - batch, CLASSES, batch, _squeezed(keys), _squeezed(np.stack([bands_, sizes]).astype(np.int32)), _squeezed(slacks.astype(np.int32)))]
-    order = np.lexsort((owner, entries))
+    order = np.lexsort((owner, entries)).astype(np.int32)
     entries, owner = entries[order], owner[order]
+    del order
     new = np.ones(len(entries), dtype=bool)
     new[1:] = entries[1:] != entries[:-1]
-    lead = np.flatnonzero(new)
-    several = np.diff(np.concatenate([lead, [len(entries)]])) > 1
-    member = np.repeat(several, np.diff(np.concatenate([lead, [len(entries)]])))
+    lead = np.flatnonzero(new).astype(np.int32)
+    times = np.diff(lead, append=np.int32(len(entries)))
+    several = times > 1
+    member = np.repeat(several, times)
     if member.any():
         out.append((-1 - batch, SAME, batch, _squeezed(entry_names(entries[member], buckets)), _squeezed(owner[member].astype(np.int32)), b""))
     entries, owner = entries[lead], owner[lead]
-    bucket = bucket_of(entries, buckets)
-    by = np.lexsort((owner, bucket))
+    del new, lead, times, member
+    bucket = bucket_of(entries, buckets).astype(np.int32)
+    by = np.lexsort((owner, bucket)).astype(np.int32)
     entries, owner, bucket, several = entries[by], owner[by], bucket[by], several[by]
+    del by
     cuts = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]])
     for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         out.append((int(bucket[x]), ENTRIES, batch, _low_bytes(entries[x:y]), _squeezed(np.diff(owner[x:y], prepend=0).astype(np.int32)), np.packbits(several[x:y]).tobytes()))
@@ -257,7 +261,9 @@ def packed_entries(docs: DataFrame, buckets: int) -> DataFrame:
         seen: set = set()
 
         def record(batch: int, parts: list) -> pa.RecordBatch:
-            packed = _pack(batch, *(np.concatenate(x) for x in zip(*parts, strict=True)), buckets)
+            columns = [[*x] for x in zip(*parts, strict=True)]
+            parts.clear()
+            packed = _pack(batch, *(np.concatenate(columns.pop(0)) for _ in range(len(columns))), buckets)
             types = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
             return pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(zip(*packed, strict=True), types, strict=True)], ["key", "kind", "batch", "a", "b", "c"])
 
@@ -280,7 +286,7 @@ def packed_entries(docs: DataFrame, buckets: int) -> DataFrame:
                 entries, owner, slacks = [], [], np.full((len(keys), 2), 1 << 30, dtype=np.int64)
                 for found, sets, lower, slack in _entries(shingles, n):
                     entries.append(found)
-                    owner.append((sets + classes) * 2 + lower)
+                    owner.append(((sets + classes) * 2 + lower).astype(np.int32))
                     slacks[:, lower] = slack
                 parts.append((keys, _band_of(n), n, slacks.ravel(), np.concatenate(entries), np.concatenate(owner)))
                 size += len(parts[-1][4])
@@ -294,6 +300,16 @@ def packed_entries(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(emit, PACKED)
 
 
+def repeated(low: list[np.ndarray], pieces: int = 8) -> np.ndarray:
+    """The numbers of NAME_BITS bits that occur more than once in the arrays, sorted; one piece of their range at a time."""
+    out = []
+    for k in range(pieces):
+        ordered = np.concatenate([x[(x * pieces) >> NAME_BITS == k] for x in low])
+        ordered.sort()
+        out.append(np.unique(ordered[1:][ordered[1:] == ordered[:-1]]))
+    return np.concatenate(out)
+
+
 def _bucket_hits(group: pa.Table) -> pa.Table:
     """The entries of a bucket that several batches have, or several classes of a batch."""
     names = ["batch", "kind", "a", "b", "c"]
@@ -304,8 +320,8 @@ def _bucket_hits(group: pa.Table) -> pa.Table:
     a, b, c, batch = (group.column(n).to_pylist() for n in ("a", "b", "c", "batch"))
     low = [_low_bits(x) for x in a]
     flags = [np.unpackbits(np.frombuffer(f, dtype=np.uint8))[: len(x)].astype(bool) for f, x in zip(c, low, strict=True)]
-    ordered = np.sort(np.concatenate(low))
-    shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del a
+    shared = repeated(low)
     out = []
     for x, f, owners, of in zip(low, flags, b, batch, strict=True):
         # Entries of several classes of the batch are listed there already.

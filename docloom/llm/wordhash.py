@@ -19,8 +19,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
 
-#: Bytes of text that are hashed at once (a longer text is hashed alone).
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are hashed at once (a longer text is hashed alone): about ten arrays of 8 bytes for each.
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

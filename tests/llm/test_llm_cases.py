@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -149,6 +150,37 @@ def test_jaccard_equals_brute_force(spark, tmp_path, monkeypatch, group):
     assert got == components(dict(rows))
 
 
+def most_bytes(work):
+    """Most memory that numpy and Python take during ``work``."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_of_near_dedup_and_quality_stay_small():
+    rng = np.random.Generator(np.random.PCG64(5))
+    words = [b"%x" % w for w in rng.integers(0, 1 << 40, 3000)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 3000, 200)) for _ in range(1000)]
+    assert most_bytes(lambda: [0 for _ in jaccard_join.shingle_sets(texts)]) < 20 << 20
+    n = 500_000
+    entries = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    owner, some = np.sort(rng.integers(0, 2000, n, dtype=np.int32)), np.zeros(1000, dtype=np.int64)
+    assert most_bytes(lambda: jaccard_join._pack(0, some, some, some, np.repeat(some, 2), entries, owner, 20)) < 55 * n
+    cotraining._slot.cache_clear()
+    assert most_bytes(lambda: [cotraining._slot(b"%x" % i) for i in range(100_000)]) < 12 << 20
+
+
+def test_repeated_numbers_are_found_piece_by_piece():
+    rng = np.random.Generator(np.random.PCG64(6))
+    low = [rng.choice(np.concatenate([rng.integers(0, 1 << 40, 50), [0, (1 << 40) - 1]]), n) for n in (60, 0, 90)]
+    values, times = np.unique(np.concatenate(low), return_counts=True)
+    assert np.array_equal(jaccard_join.repeated(low), values[times > 1])
+    assert not len(jaccard_join.repeated([low[1]]))
+
+
 def test_jaccard_cases(spark, tmp_path):
     got = jaccard_join.jaccard_components(docs(spark, ODD, tmp_path)).collect()
     assert len(got) == len(ODD)
